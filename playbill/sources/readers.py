@@ -18,10 +18,10 @@ def read_table(spark: SparkSession, path: str, ddl: str | None = None) -> DataFr
     return reader.parquet(path)
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Incoming rows from feed documents ``{"generated": ..., "events": [...]}``."""
+def read_feed(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Incoming rows from feed documents ``{"generated": ..., "events": [...]}``, one a file or one a line."""
     item = "struct<id:string,eventName:string,venue:string,url:string,date:string,summary:string,thumbnailUrl:string>"
-    docs = spark.read.schema(f"generated string, events array<{item}>").option("multiLine", True).json(path)
+    docs = spark.read.schema(f"generated string, events array<{item}>").option("multiLine", multi_line).json(path)
     rows = docs.select(F.posexplode("events").alias("ord", "e")).filter("e is not null")
     return rows.select(
         F.col("e.id").alias("id"),

@@ -83,7 +83,7 @@ def main():
     con = connect(folder)
     bad = 0
     for name, each in catalog.entries().items():
-        if args and not any(a in name or a in each.covers for a in args):
+        if args and not any(a in name or a in each.covers or a in {c.rstrip("0123456789") for c in each.covers} for a in args):
             continue
         try:
             status, note, took = compare(spark, con, folder, name, each.run, each.sql)
