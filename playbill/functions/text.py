@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Work out ``value`` once and use it several times in ``body``; inside lambdas nothing else shares work."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Text without white space at both ends; null becomes empty."""
     return F.btrim(F.coalesce(col(c), F.lit("")), F.lit(V.WHITESPACE))
@@ -191,6 +196,9 @@ def error_class(c: Column | str) -> Column:
     return result.otherwise("other")
 
 
+NAMED = "\u0002".join(f"{name}\u0003{chr(point)}" for name, point in sorted(name2codepoint.items()) if name != "amp")
+
+
 def decode_entities(c: Column) -> Column:
     """Named and numeric character references turned into characters; ``&amp;`` goes last."""
 
@@ -198,23 +206,26 @@ def decode_entities(c: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
     def numbers(text: Column, pattern: str, base: int) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
         lead = "&#" if base == 10 else "&#x"
+
         def put(acc: Column, digits: Column) -> Column:
             value = F.conv(digits, base, 10).cast("bigint")
             valid = (value > 0) & (value <= 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
-            return F.replace(acc, F.concat(F.lit(lead), digits, F.lit(";")), F.when(valid, code_point(value)).otherwise("�"))
-        return F.aggregate(found, text, put)
+            return F.replace(acc, F.concat(F.lit(lead), digits, F.lit(";")), F.when(valid, code_point(value)).otherwise("\ufffd"))
+
+        return let(text, lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(1))), t, put))
 
-    names = F.create_map(*[F.lit(x) for n, p in sorted(name2codepoint.items()) if n != "amp" for x in (n, chr(p))])
+    names = F.str_to_map(F.lit(NAMED), F.lit("\u0002"), F.lit("\u0003"))
 
     def named(acc: Column, name: Column) -> Column:
         ref = F.concat(F.lit("&"), name, F.lit(";"))
         return F.replace(acc, ref, F.coalesce(F.try_element_at(names, name), ref))
 
-    text = numbers(c, r"&#(\d{1,7});", 10)
-    text = numbers(text, r"&#x([0-9a-fA-F]{1,6});", 16)
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&([a-zA-Z]+[0-9]*);"), F.lit(1)))
-    text = F.aggregate(found, text, named)
-    text = F.replace(F.replace(text, F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    return F.when(c.contains("&"), text).otherwise(c)
+    def whole(raw: Column) -> Column:
+        text = numbers(numbers(raw, r"&#(\d{1,7});", 10), r"&#x([0-9a-fA-F]{1,6});", 16)
+        found = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"&([a-zA-Z]+[0-9]*);"), F.lit(1)))
+        text = let(text, lambda t: F.aggregate(found(t), t, named))
+        text = F.replace(F.replace(text, F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
+        return F.when(raw.contains("&"), text).otherwise(raw)
+
+    return let(c, whole)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from playbill.functions import fixed_values as V
-from playbill.functions.text import blank_to_null, col, keyword_set, strip, title_words
+from playbill.functions.text import blank_to_null, col, keyword_set, let, strip, title_words
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -95,31 +95,50 @@ def _fold_dots(segments: Column) -> Column:
     return F.when(open_end, F.concat(folded, F.array(F.lit("")))).otherwise(folded)
 
 
+def url_struct(c: Column | str) -> Column:
+    """Parts of an address in one value: ``scheme``, ``site`` (as written), ``path``, ``query``."""
+    return F.struct(
+        scheme(c).alias("scheme"), url_part(c, 2).alias("site"), url_path(c).alias("path"), url_part(c, 4).alias("query")
+    )
+
+
 def absolute_url(base: Column | str, c: Column | str) -> Column:
     """Resolve a link against the page it stands on."""
-    base, link = col(base), col(c)
-    prefix = F.concat(scheme(base), F.lit("://"), url_part(base, 2))
-    base_path = url_path(base)
-    path = url_path(link)
-    rest = F.substr(link, F.length(path) + 1)
-    folder = F.split(F.regexp_extract(base_path, r"^(.*/)?[^/]*$", 1), "/")
-    joined = F.when(F.size(folder) > 1, F.concat(F.slice(folder, F.lit(1), F.size(folder) - 1), F.split(path, "/")))
-    joined = F.coalesce(joined, F.concat(F.array(F.lit("")), F.split(path, "/")))
-    last = F.size(joined) - 1
-    tidy = F.filter(joined, lambda s, i: (s != "") | (i == 0) | (i == last))
-    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(tidy)
-    # dots are rare, so the segment walk runs only where one stands
-    dotted = F.concat(F.lit("/"), path).contains("/.") | base_path.contains("/.")
-    relative = F.concat(prefix, F.array_join(F.when(dotted, _fold_dots(segments)).otherwise(segments), "/"), rest)
-    same_page = F.concat(prefix, base_path)
-    base_query = F.regexp_extract(base, r"^[^#?]*(\?[^#]*)?", 1)
+    both = F.struct(col(base).alias("base"), url_struct(base).alias("b"), col(c).alias("link"), url_struct(c).alias("l"))
+    return let(both, lambda v: resolve(v["base"], v["b"], v["link"], v["l"]))
+
+
+def resolve(base: Column, b: Column, link: Column, part: Column) -> Column:
+    """The resolution itself, over addresses whose parts are known."""
+    prefix = F.concat(b["scheme"], F.lit("://"), b["site"])
+    path = part["path"]
+
+    def join_path() -> Column:
+        rest = F.substr(link, F.length(path) + 1)
+        folder = F.split(F.regexp_extract(b["path"], r"^(.*/)?[^/]*$", 1), "/")
+        inside = F.when(F.size(folder) > 1, F.slice(folder, F.lit(1), F.greatest(F.size(folder) - 1, F.lit(1)))).otherwise(F.array(F.lit("")))
+        joined = F.when(path.startswith("/"), F.split(path, "/")).otherwise(F.concat(inside, F.split(path, "/")))
+
+        def tidy(segments: Column) -> Column:
+            last = F.size(segments) - 1
+            return F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == last))
+
+        segments = F.when(path.startswith("/"), joined).otherwise(let(joined, tidy))
+        return F.concat(prefix, F.array_join(let(segments, _fold_dots), "/"), rest)
+
+    # most links are plain paths from the root; only the others walk over segments
+    dotted = F.concat(F.lit("/"), path).contains("/.")
+    plain = link.startswith("/") & ~dotted
+    same_page = F.concat(prefix, b["path"])
+    asked = F.when(b["query"] != "", F.concat(F.lit("?"), b["query"])).otherwise("")
     return (
         F.when(link == "", base)
-        .when(url_part(link, 1) != "", link)
-        .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
+        .when(part["scheme"] != "", link)
+        .when(link.startswith("//"), F.concat(b["scheme"], F.lit(":"), link))
+        .when(plain, F.concat(prefix, link))
         .when(link.startswith("?"), F.concat(same_page, link))
-        .when(link.startswith("#"), F.concat(same_page, base_query, link))
-        .otherwise(relative)
+        .when(link.startswith("#"), F.concat(same_page, asked, link))
+        .otherwise(join_path())
     )
 
 
@@ -143,11 +162,13 @@ def _has_food_word(path: Column) -> Column:
     return path.rlike(r"(?:^|[/_-])\s*(?:" + one_of(V.FOOD_WORDS) + r")\s*(?:[/_-]|$)")
 
 
+UTILITY_PAGE = r"(?:^|/)(?:" + one_of(V.NON_EVENT_SEGMENTS) + r")(?:/|$)"
+
+
 def is_unlikely_event_page(c: Column | str) -> Column:
     """Cart, account, legal and food pages. Whole path segments count, not parts of words."""
     path = F.lower(url_path(c))
-    utility = path.rlike(r"(?:^|/)(?:" + one_of(V.NON_EVENT_SEGMENTS) + r")(?:/|$)")
-    return utility | (~has_event_signal(c) & _has_food_word(path))
+    return let(path, lambda p: p.rlike(UTILITY_PAGE) | (~has_event_signal(c) & _has_food_word(p)))
 
 
 def is_aggregator(c: Column | str) -> Column:
@@ -156,21 +177,26 @@ def is_aggregator(c: Column | str) -> Column:
 
 def link_priority(c: Column | str) -> Column:
     """Crawl priority of a link; each tier counts once."""
-    low = F.lower(col(c))
 
-    def points(pattern: str, n: int) -> Column:
-        return F.when(low.rlike(pattern), n).otherwise(0)
+    def tiers(low: Column) -> Column:
+        def points(pattern: str, n: int) -> Column:
+            return F.when(low.rlike(pattern), n).otherwise(0)
 
-    base = (
-        F.when(low.contains(V.SOCIAL_EVENT_FRAGMENT), 12).otherwise(0)
-        + points(one_of(V.EVENT_LINK_FRAGMENTS), 10)
-        + points(one_of(V.LISTING_LINK_FRAGMENTS), 2)
-        + points(V.PAGING_PATTERN, 8)
-        + points(one_of(V.LOW_VALUE_FRAGMENTS), -4)
-    )
-    food = (base <= 0) & ~has_event_signal(low) & _has_food_word(url_path(low))
-    marks = F.length(low) - F.length(F.replace(low, F.lit("?"), F.lit("")))
-    return base + F.when(food, -8).otherwise(0) + F.when(marks > 1, -1).otherwise(0)
+        return (
+            F.when(low.contains(V.SOCIAL_EVENT_FRAGMENT), 12).otherwise(0)
+            + points(one_of(V.EVENT_LINK_FRAGMENTS), 10)
+            + points(one_of(V.LISTING_LINK_FRAGMENTS), 2)
+            + points(V.PAGING_PATTERN, 8)
+            + points(one_of(V.LOW_VALUE_FRAGMENTS), -4)
+        )
+
+    def total(v: Column) -> Column:
+        low, base = v["low"], v["base"]
+        food = (base <= 0) & ~has_event_signal(low) & _has_food_word(url_path(low))
+        marks = F.length(low) - F.length(F.replace(low, F.lit("?"), F.lit("")))
+        return base + F.when(food, -8).otherwise(0) + F.when(marks > 1, -1).otherwise(0)
+
+    return let(F.lower(col(c)), lambda low: let(F.struct(low.alias("low"), tiers(low).alias("base")), total))
 
 
 def seed_score(c: Column | str) -> Column:
@@ -183,15 +209,22 @@ def seed_score(c: Column | str) -> Column:
 
 def listing_score(href: Column | str, text: Column | str) -> Column:
     """How much a link looks like a venue's listing page; 0 means not at all."""
-    low_href, low_text = F.lower(col(href)), strip(F.lower(F.coalesce(col(text), F.lit(""))))
-    phrase = None
-    for words in V.LISTING_PHRASES:
-        hit = low_text.contains(words)
-        value = F.when(low_text == words, 8).otherwise(3)
-        phrase = F.when(hit, value) if phrase is None else phrase.when(hit, value)
-    base = F.when(low_href.rlike(one_of(V.LISTING_HREF_HINTS)), 6).otherwise(0) + phrase.otherwise(0)
-    slashes = F.length(low_href) - F.length(F.replace(low_href, F.lit("/"), F.lit("")))
-    return F.when(base == 0, 0).otherwise(base + F.when(slashes <= 4, 1).otherwise(0))
+    words = strip(F.lower(F.coalesce(col(text), F.lit(""))))
+
+    def base(v: Column) -> Column:
+        phrase = None
+        for each in V.LISTING_PHRASES:
+            hit = v["words"].contains(each)
+            value = F.when(v["words"] == each, 8).otherwise(3)
+            phrase = F.when(hit, value) if phrase is None else phrase.when(hit, value)
+        return F.when(v["low"].rlike(one_of(V.LISTING_HREF_HINTS)), 6).otherwise(0) + phrase.otherwise(0)
+
+    def total(v: Column) -> Column:
+        slashes = F.length(v["low"]) - F.length(F.replace(v["low"], F.lit("/"), F.lit("")))
+        near = F.when(slashes <= 4, 1).otherwise(0)
+        return let(base(v), lambda b: F.when(b == 0, 0).otherwise(b + near))
+
+    return let(F.struct(F.lower(col(href)).alias("low"), words.alias("words")), total)
 
 
 # Images -------------------------------------------------------------------------------------

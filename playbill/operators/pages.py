@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions import fixed_values as V
-from playbill.functions.text import decode_entities, keyword_set, strip
+from playbill.functions.text import decode_entities, keyword_set, let, strip
 from playbill.functions.urls import (
     absolute_image_url, absolute_url, filename_words, host, is_candidate_image, is_unlikely_event_page, link_priority,
-    listing_score, netloc, root_url, scheme, seed_score, strip_link_junk, strip_result_junk, without_fragment,
+    listing_score, netloc, resolve, root_url, scheme, seed_score, strip_link_junk, strip_result_junk, url_struct,
+    without_fragment,
 )
 
 # possessive, so long tags neither backtrack nor recurse
@@ -27,9 +28,10 @@ UNSEEN = ("script", "style", "noscript", "template", "svg")
 
 def attribute(tag: Column, name: str) -> Column:
     """Decoded attribute value of a tag; blank when missing."""
-    pattern = r"""(?i)(?<![\w-])%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""" % name
-    value = F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
-    return decode_entities(value)
+    pattern = r"""(?i)(?<![\w-])%s\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""" % name
+    raw = F.regexp_extract(tag, pattern, 1)
+    quoted = lambda v: v.startswith('"') | v.startswith("'")
+    return decode_entities(let(raw, lambda v: F.when(quoted(v), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
 
 
 def _clip(html: Column | str, limit: int) -> Column:
@@ -47,13 +49,21 @@ def _page_links(skip_utility: bool = True) -> Column:
         F.transform(tags, lambda t: strip(attribute(t, "href"))),
         lambda h: (h != "") & ~h.startswith("#") & ~F.lower(h).startswith("javascript:"),
     )
-    links = F.transform(hrefs, lambda h: without_fragment(absolute_url("url", h)))
 
-    def fits(u: Column) -> Column:
-        ok = scheme(u).isin("http", "https") & (netloc(u) == netloc("url")) & ~u.rlike(V.BINARY_PATTERN)
-        return ok & ~is_unlikely_event_page(u) if skip_utility else ok
+    def on_page(base: Column) -> Column:
+        full = lambda h: let(
+            F.struct(base["url"].alias("url"), base["b"].alias("b"), url_struct(h).alias("l")),
+            lambda v: without_fragment(resolve(v["url"], v["b"], h, v["l"])),
+        )
+        links = F.array_distinct(F.transform(hrefs, full))
+
+        def fits(u: Column) -> Column:
+            here = scheme(u).isin("http", "https") & (netloc(u) == F.lower(base["b"]["site"])) & ~u.rlike(V.BINARY_PATTERN)
+            return here & ~is_unlikely_event_page(u) if skip_utility else here
 
-    return F.array_distinct(F.filter(links, fits))
+        return F.filter(links, fits)
+
+    return let(F.struct(F.col("url").alias("url"), url_struct("url").alias("b")), on_page)
 
 
 def link_edges(pages: DataFrame, skip_utility: bool = True) -> DataFrame:
@@ -63,16 +73,12 @@ def link_edges(pages: DataFrame, skip_utility: bool = True) -> DataFrame:
 
 def top_links(pages: DataFrame, found: int = V.MAX_LINKS_FOUND, kept: int = V.MAX_LINKS_KEPT) -> DataFrame:
     """The first ``found`` links of each page ranked by priority, shorter first; ``rank`` counts from 0."""
-    ranked = F.array_sort(
-        F.transform(
-            F.slice(F.col("links"), 1, found),
-            lambda u, i: F.struct((-link_priority(u)).alias("a"), F.length(u).alias("b"), i.alias("c"), u.alias("link")),
-        )
-    )
-    best = F.slice(ranked, 1, kept)
+    def ranked(links: Column) -> Column:
+        key = lambda u, i: F.struct((-link_priority(u)).alias("a"), F.length(u).alias("b"), i.alias("c"), u.alias("link"))
+        return F.slice(F.array_sort(F.transform(F.slice(links, 1, found), key)), 1, kept)
+
     return (
-        pages.select("page_id", "url", _page_links().alias("links"))
-        .select("page_id", "url", F.posexplode(best).alias("rank", "l"))
+        pages.select("page_id", "url", F.posexplode(let(_page_links(), ranked)).alias("rank", "l"))
         .select("page_id", "url", "rank", F.col("l.link").alias("link"), (-F.col("l.a")).alias("priority"))
     )
 
@@ -80,26 +86,39 @@ def top_links(pages: DataFrame, found: int = V.MAX_LINKS_FOUND, kept: int = V.MA
 def best_listing_link(pages: DataFrame) -> DataFrame:
     """The link of a page that looks most like the host's listing page, the first one on ties."""
     tags = F.regexp_extract_all(_clip("html", V.HTML_CHARS), F.lit(ANCHOR_TEXT), F.lit(0))
-    base = root_url("url")
-
-    def look(tag: Column) -> Column:
-        href = strip(attribute(tag, "href"))
-        text = decode_entities(F.regexp_replace(tag, ANY_TAG, ""))
-        link = without_fragment(absolute_url(base, href))
-        fits = (
-            (href != "") & ~href.startswith("#") & ~F.lower(href).startswith("javascript:")
-            & scheme(link).isin("http", "https") & (netloc(link) == netloc(base))
-        )
-        return F.struct(F.when(fits, listing_score(link, text)).otherwise(0).alias("score"), link.alias("link"))
 
-    best = F.array_sort(
-        F.filter(
-            F.transform(F.transform(tags, look), lambda s, i: F.struct((-s["score"]).alias("a"), i.alias("b"), s["link"].alias("link"))),
-            lambda s: s["a"] < 0,
-        )
-    )
+    def on_page(base: Column) -> Column:
+        def look(tag: Column, i: Column) -> Column:
+            found = let(
+                F.struct(
+                    strip(attribute(tag, "href")).alias("href"),
+                    decode_entities(F.regexp_replace(tag, ANY_TAG, "")).alias("words"), base["url"].alias("url"), base["b"].alias("b"),
+                ),
+                lambda v: F.struct(
+                    without_fragment(let(
+                        F.struct(v["url"].alias("url"), v["b"].alias("b"), v["href"].alias("h"), url_struct(v["href"]).alias("l")),
+                        lambda w: resolve(w["url"], w["b"], w["h"], w["l"]),
+                    )).alias("link"),
+                    v["href"].alias("href"), v["words"].alias("words"),
+                ),
+            )
+
+            def judged(v: Column) -> Column:
+                fits = (
+                    (v["href"] != "") & ~v["href"].startswith("#") & ~F.lower(v["href"]).startswith("javascript:")
+                    & scheme(v["link"]).isin("http", "https") & (netloc(v["link"]) == F.lower(base["b"]["site"]))
+                )
+                points = F.when(fits, listing_score(v["link"], v["words"])).otherwise(0)
+                return F.struct((-points).alias("a"), i.alias("b"), v["link"].alias("link"))
+
+            return let(found, judged)
+
+        return F.array_min(F.filter(F.transform(tags, look), lambda s: s["a"] < 0))
+
+    home = root_url("url")
+    best = let(F.struct(home.alias("url"), url_struct(home).alias("b")), on_page)
     return (
-        pages.select("page_id", "url", F.get(best, F.lit(0)).alias("l")).filter("l is not null")
+        pages.select("page_id", "url", best.alias("l")).filter("l is not null")
         .select("page_id", "url", F.col("l.link").alias("link"), (-F.col("l.a")).alias("score"))
     )
 
@@ -111,29 +130,36 @@ def visible_text(html: Column, url: Column) -> Column:
     """Lines of a page: visible text between tags, with image markers where likely images stand."""
     for name in UNSEEN:
         html = F.regexp_replace(html, rf"(?is)<{name}\b{TAG_BODY}>.*?</{name}\s*>", " <br> ")
-    images = F.regexp_extract_all(html, F.lit(IMAGE), F.lit(0))
-    pieces = F.split(html, IMAGE)
     empty = F.array().cast("array<string>")
 
     def text_nodes(piece: Column) -> Column:
-        nodes = F.split(F.regexp_replace(piece, ANY_TAG, "\u0001"), "\u0001")
-        return F.filter(F.transform(nodes, lambda n: strip(decode_entities(n))), lambda n: n != "")
+        bare = decode_entities(F.regexp_replace(piece, ANY_TAG, "\u0001"))
+        return F.filter(F.transform(F.split(bare, "\u0001"), lambda n: strip(n)), lambda n: n != "")
 
     def marker(tag: Column) -> Column:
-        source = image_source(tag)
-        alt = F.replace(F.replace(strip(attribute(tag, "alt")), F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("'"))
-        alt = F.when(F.length(alt) > V.ALT_CHARS, F.concat(F.substr(alt, F.lit(1), F.lit(V.ALT_CHARS - 3)), F.lit("…"))).otherwise(alt)
-        mark = F.concat(F.lit('[IMG alt="'), alt, F.lit('" src='), absolute_url(url, source), F.lit("]"))
-        likely = is_candidate_image(source, attribute(tag, "width"), attribute(tag, "height"))
-        return F.when(likely, F.array(mark)).otherwise(empty)
-
-    nodes = F.flatten(
-        F.transform(
-            pieces, lambda p, i: F.concat(text_nodes(p), F.when(i < F.size(images), marker(F.get(images, i))).otherwise(empty))
-        )
+        def mark(v: Column) -> Column:
+            alt = F.replace(F.replace(v["alt"], F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("'"))
+            short = let(alt, lambda a: F.when(F.length(a) > V.ALT_CHARS, F.concat(F.substr(a, F.lit(1), F.lit(V.ALT_CHARS - 3)), F.lit("…"))).otherwise(a))
+            text = F.concat(F.lit('[IMG alt="'), short, F.lit('" src='), absolute_url(url, v["src"]), F.lit("]"))
+            return F.when(is_candidate_image(v["src"], v["w"], v["h"]), F.array(text)).otherwise(empty)
+
+        return let(_image_struct(tag), mark)
+
+    def lines(text: Column) -> Column:
+        images = F.regexp_extract_all(text, F.lit(IMAGE), F.lit(0))
+        markers = let(images, lambda tags: F.transform(tags, marker))
+        parts = F.arrays_zip(F.transform(F.split(text, IMAGE), text_nodes).alias("t"), markers.alias("m"))
+        nodes = F.flatten(F.transform(parts, lambda p: F.concat(p["t"], F.coalesce(p["m"], empty))))
+        return F.flatten(F.transform(nodes, lambda n: F.split(n, r"\r\n|\r|\n")))
+
+    return F.array_join(F.filter(let(html, lines), lambda n: strip(n) != ""), "\n")
+
+
+def _image_struct(tag: Column) -> Column:
+    return F.struct(
+        image_source(tag).alias("src"), strip(attribute(tag, "alt")).alias("alt"), attribute(tag, "width").alias("w"),
+        attribute(tag, "height").alias("h"),
     )
-    lines = F.flatten(F.transform(nodes, lambda n: F.split(n, r"\r\n|\r|\n")))
-    return F.array_join(F.filter(lines, lambda n: strip(n) != ""), "\n")
 
 
 def page_text(pages: DataFrame, limit: int = V.PAGE_TEXT_CHARS) -> DataFrame:
@@ -147,7 +173,7 @@ def page_text(pages: DataFrame, limit: int = V.PAGE_TEXT_CHARS) -> DataFrame:
 
 
 def image_source(tag: Column) -> Column:
-    sources = [F.nullif(attribute(tag, n), F.lit("")) for n in ("src", "data-src", "data-lazy-src")]
+    sources = [let(attribute(tag, n), lambda v: F.nullif(v, F.lit(""))) for n in ("src", "data-src", "data-lazy-src")]
     return strip(F.coalesce(*sources, F.lit("")))
 
 
@@ -155,17 +181,18 @@ def page_images(pages: DataFrame) -> DataFrame:
     """Plausible poster images of a page in document order, each address once, with their keywords."""
     tags = F.regexp_extract_all(_clip("html", V.IMAGE_HTML_CHARS), F.lit(IMAGE), F.lit(0))
 
-    def read(tag: Column) -> Column:
-        return F.struct(
-            image_source(tag).alias("src"), strip(attribute(tag, "alt")).alias("alt"),
-            attribute(tag, "width").alias("w"), attribute(tag, "height").alias("h"),
+    def found(base: Column) -> Column:
+        fit = F.filter(F.transform(tags, _image_struct), lambda i: is_candidate_image(i["src"], i["w"], i["h"]))
+        full = lambda i: F.struct(
+            let(F.struct(i["src"].alias("s"), url_struct(i["src"]).alias("l")), lambda v: resolve(base["url"], base["b"], v["s"], v["l"])).alias("src"),
+            i["alt"].alias("alt"),
         )
+        first = lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda f: f["src"]), x["src"]) == i + 1)
+        return let(F.transform(fit, full), first)
 
-    fit = F.filter(F.transform(tags, read), lambda i: is_candidate_image(i["src"], i["w"], i["h"]))
-    found = F.transform(fit, lambda i: F.struct(absolute_image_url("url", i["src"]).alias("src"), i["alt"].alias("alt")))
-    rows = pages.select("page_id", "url", found.alias("found"))
-    once = F.filter("found", lambda x, i: F.array_position(F.transform(F.col("found"), lambda f: f["src"]), x["src"]) == i + 1)
-    return rows.select("page_id", "url", F.posexplode(once).alias("pos", "i")).select(
+    folder = F.concat("url", F.lit("/"))
+    once = let(F.struct(folder.alias("url"), url_struct(folder).alias("b")), found)
+    return pages.select("page_id", "url", F.posexplode(once).alias("pos", "i")).select(
         "page_id", "url", "pos", F.col("i.src").alias("src"), F.col("i.alt").alias("alt"),
         F.array_union(keyword_set(F.col("i.alt")), filename_words(F.col("i.src"))).alias("words"),
     )
