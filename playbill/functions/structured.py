@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playbill.functions import fixed_values as V
-from playbill.functions.text import strip
+from playbill.functions.text import let, strip
 
 
 def numbered_rows(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -21,7 +21,7 @@ def numbered_rows(df: DataFrame, text: str, key: str) -> DataFrame:
 
     rows = df.select(key, F.transform(items, bare).alias("items"))
     lows = F.transform(F.col("items"), lambda s: F.lower(s))
-    once = F.filter("items", lambda s, i: (s != "") & (F.array_position(lows, F.lower(s)) == i + 1))
+    once = let(lows, lambda low: F.filter("items", lambda s, i: (s != "") & (F.array_position(low, F.lower(s)) == i + 1)))
     return rows.select(key, F.posexplode(once).alias("pos", "item"))
 
 

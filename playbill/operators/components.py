@@ -45,12 +45,17 @@ def group_edges(groups: DataFrame, group: str = "group_id", member: str = "id")
     return groups.join(hubs, group).select("src", F.col(member).alias("dst")).filter("src <> dst").distinct()
 
 
-def clusters(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Disjoint clusters of known ids from overlapping pairs: ``id`` and ``cluster`` (its smallest id)."""
-    known = ids.select("id").distinct()
-    kept = (
-        pairs.select(F.trim("src").alias("src"), F.trim("dst").alias("dst"))
-        .join(known.withColumnRenamed("id", "src"), "src", "left_semi")
-        .join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    )
-    return connected_components(kept).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+def clusters(groups: DataFrame, ids: DataFrame, group: str = "group_id") -> DataFrame:
+    """Disjoint clusters from overlapping groups of ids: ``id`` and ``cluster`` (its smallest id).
+
+    Unknown ids leave their groups first, so a group still joins the known ids it names.
+    """
+    named = groups.select(group, F.trim("id").alias("id"))
+    known = named.join(ids.select("id").distinct(), "id", "left_semi")
+    return connected_components(group_edges(known, group)).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+
+
+def pair_groups(pairs: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Pairs as groups of two."""
+    name = F.concat_ws("\u0001", F.col(src).cast("string"), F.col(dst).cast("string"))
+    return pairs.select(name.alias("group_id"), F.explode(F.array(src, dst)).alias("id"))

@@ -11,6 +11,7 @@ from playbill.functions import fixed_values as V
 from playbill.functions.text import blank_to_null, split_title, strip, title_words
 from playbill.functions.urls import asset_path, extension_for, image_id, is_http, poster_quality
 from playbill.operators.pages import og_image, page_images
+from playbill.session import cut_lineage
 
 SALTS = 32
 
@@ -139,7 +140,10 @@ def assign_images(resources: DataFrame, pages: DataFrame) -> DataFrame:
         .withColumn("_needs", F.col("_shared").isNotNull() & ((F.col("_thumb") == "") | (F.col("_times") > 1)))
     )
     kept = thumbs.filter("_times = 1").select("_url", F.col("_thumb").alias("src"))
-    everything = page_images(pages).withColumnRenamed("url", "_url")
+    # pages are read once, and only those some row waits for
+    waiting = marked.filter("_needs").select(F.col("_url").alias("url")).distinct()
+    wanted = pages.join(waiting, "url", "left_semi")
+    everything = cut_lineage(page_images(wanted).select(F.col("url").alias("_url"), "pos", "src", "words"))
     with_images = everything.select("_url").distinct().withColumn("_paged", F.lit(True))
     free = everything.join(kept, ["_url", "src"], "left_anti")
     boards = free.groupBy("_url").agg(

@@ -187,7 +187,8 @@ def page_images(pages: DataFrame) -> DataFrame:
             let(F.struct(i["src"].alias("s"), url_struct(i["src"]).alias("l")), lambda v: resolve(base["url"], base["b"], v["s"], v["l"])).alias("src"),
             i["alt"].alias("alt"),
         )
-        first = lambda all_: F.filter(all_, lambda x, i: F.array_position(F.transform(all_, lambda f: f["src"]), x["src"]) == i + 1)
+        once = lambda all_, srcs: F.filter(all_, lambda x, i: F.array_position(srcs, x["src"]) == i + 1)
+        first = lambda all_: let(F.transform(all_, lambda f: f["src"]), lambda srcs: once(all_, srcs))
         return let(F.transform(fit, full), first)
 
     folder = F.concat("url", F.lit("/"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions import fixed_values as V
-from playbill.functions.text import alnum_key, blank_to_null, collapse_key, core_key, strip
+from playbill.functions.text import alnum_key, blank_to_null, collapse_key, core_key, let, strip
 from playbill.functions.urls import host
 
 
@@ -67,15 +67,15 @@ def pieces(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-RUN_CHARS = 256
+RUN_CHARS = 128
+MAX_PIECE_LIST = 10_000
 
 
 def text_runs(text: Column, size: int, overlap: int) -> Column:
     """Text cut into runs of ``size`` characters, each with the first ``overlap`` characters of the next."""
-    runs = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0))
-    return F.transform(
-        runs, lambda r, i: F.concat(r, F.substr(F.coalesce(F.get(runs, i + 1), F.lit("")), F.lit(1), F.lit(overlap)))
-    )
+    cut = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % size), F.lit(0))
+    head = lambda r: F.substr(F.coalesce(r, F.lit("")), F.lit(1), F.lit(overlap))
+    return let(cut, lambda runs: F.transform(runs, lambda r, i: F.concat(r, head(F.get(runs, i + 1)))))
 
 
 def brand_label(host_col: Column | str) -> Column:
@@ -138,11 +138,17 @@ def mentions(df: DataFrame, venues: DataFrame, text: str = "text", key: str = "i
     anchors = spread.join(rarity, "piece").groupBy("core").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     waiting = cores.join(anchors, "core")
     longest = cores.agg(F.max(F.length("core"))).head()[0] or size
-    runs = text_runs(collapse_key(text), max(RUN_CHARS, longest), longest)
-    spots = (
-        df.select(F.col(key).alias("row_id"), F.explode(runs).alias("run"))
-        .withColumn("piece", F.explode(pieces(F.col("run"), size)))
-    )
+    some = [r[0] for r in anchors.select("piece").distinct().limit(MAX_PIECE_LIST + 1).collect()]
+    runs = F.explode(text_runs(collapse_key(text), max(RUN_CHARS, longest), longest))
+    run = F.col("run")
+    if len(some) <= MAX_PIECE_LIST:
+        # few enough to test in place, so only runs that may hold a name go on; a longer list is left to the join
+        starts = F.sequence(F.lit(1), F.greatest(F.length(run) - size + 1, F.lit(1)))
+        hits = F.filter(starts, lambda p: F.substr(run, p, F.lit(size)).isin(some))
+        found = F.array_distinct(F.transform(hits, lambda p: F.substr(run, p, F.lit(size))))
+    else:
+        found = pieces(run, size)
+    spots = df.select(F.col(key).alias("row_id"), runs.alias("run")).withColumn("piece", F.explode(found))
     return spots.join(waiting, "piece").filter(F.contains("run", "core")).select("row_id", "venue_id").distinct()
 
 

@@ -248,9 +248,11 @@ def _(spark, d):
 
 @query("discovered_venue_links", "W16")
 def _(spark, d):
+    # every site's first page stands in for its home page and names its listing page
     pages = X.table(spark, d, "pages")
     results = pages.select(F.col("url").alias("link"), F.col("page_id").alias("ord"))
-    homes = pages.withColumn("url", urls.root_url("url"))
+    listing = F.concat("html", F.lit('<a href="/whats-on">Gigs</a>'))
+    homes = pages.select("page_id", urls.root_url("url").alias("url"), listing.alias("html"))
     return R.discover(results, host_venues(spark, d), homes, 3)
 
 
@@ -260,21 +262,18 @@ PAIRS = """pairs AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY n_chars
   UNION ALL SELECT doc_id, lead(doc_id) OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) FROM documents)"""
 
 
-def copy_pairs(spark, d):
-    """Documents of equal length, or with an equal start, paired with the first of their kind."""
+def copy_groups(spark, d):
+    """Documents of equal length, and documents with an equal start, as groups."""
     docs = X.table(spark, d, "documents").select("doc_id", "n_chars", F.substring("text", 1, 40).alias("start"))
-    parts = []
-    for key in ("n_chars", "start"):
-        heads = docs.groupBy(key).agg(F.min("doc_id").alias("src"))
-        parts.append(docs.join(heads, key).filter("src <> doc_id").select("src", F.col("doc_id").alias("dst")))
-    return parts[0].union(parts[1])
+    groups = [docs.select(F.concat_ws(":", F.lit(key), key).alias("group_id"), F.col("doc_id").alias("id")) for key in ("n_chars", "start")]
+    return groups[0].union(groups[1])
 
 
 @query("duplicate_clusters", "J15", f"""WITH RECURSIVE {PAIRS}, sym AS (SELECT a, b FROM pairs WHERE b IS NOT NULL UNION SELECT b, a FROM pairs WHERE b IS NOT NULL),
 reach AS (SELECT a, b FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a)
 SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a""")
 def _(spark, d):
-    return C.connected_components(copy_pairs(spark, d)).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+    return C.connected_components(C.group_edges(copy_groups(spark, d))).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
 
 
 SURVIVORS = f"""g AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY lower(act), date ORDER BY thumbnail_url IS NULL, length(summary) DESC, length(act) DESC, id) AS rank FROM l WINDOW w AS (PARTITION BY lower(act), date)),
@@ -304,9 +303,8 @@ def _(spark, d):
         F.col("doc_id"), F.col("ord").alias("id"), "act", "venue", "venue_id", "location", "date", "url", F.array().cast("array<string>").alias("sources"),
         "poster_url", "summary", F.lit("").alias("added"), "tags", "ord",
     )
-    key = lambda c: F.format_string("%012d", F.col(c).cast("bigint"))
-    pairs = copy_pairs(spark, d).select(key("src").alias("src"), key("dst").alias("dst"))
-    labels = C.clusters(pairs, rows)
+    groups = copy_groups(spark, d).withColumn("id", F.format_string("%012d", F.col("id").cast("bigint")))
+    labels = C.clusters(groups, rows)
     keyed = rows.join(labels, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     out = M.survivor(keyed, "cluster")
     return out.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("id").cast("bigint").alias("doc_id"), "n", "venue")
@@ -322,10 +320,8 @@ def _(spark, d):
 @query("full_remediation", "A6")
 def _(spark, d):
     rows = X.events(spark, d).withColumn("venue_id", F.lit(""))
-    ids = X.listings(spark, d).filter("date = '2000-01-10'").select("id", "location")
-    heads = ids.groupBy("location").agg(F.min("id").alias("src"))
-    pairs = ids.join(heads, "location").select("src", F.col("id").alias("dst")).filter("src <> dst")
-    return M.remediate(rows, X.venues(spark, d), pairs)[1]
+    groups = X.listings(spark, d).select(F.concat_ws("/", "date", "venue_id").alias("group_id"), "id")
+    return M.remediate(rows, X.venues(spark, d), groups)[1]
 
 
 def merged(spark, d):

@@ -173,7 +173,9 @@ _marked = (
     "chr(1) || '[IMG alt=\"\\2\" src=' || " + BASE + " || '\\1]' || chr(1), 'g')"
 )
 _nodes = f"string_split(regexp_replace({_marked}, '(?s)<!--.*?-->|</?[A-Za-z!?][^>]*>', chr(1), 'g'), chr(1))"
-_decode = "replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_decode = "x"
+for _ref, _char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    _decode = f"replace({_decode}, '{_ref}', '{_char}')"
 
 
 @query("page_text", "T6", X.ctes("pi") + f""", n AS (SELECT page_id, url, list_filter([trim({_decode}, ' ' || chr(9) || chr(10) || chr(13)) FOR x IN {_nodes}], lambda x: x <> '') AS ns FROM pi),

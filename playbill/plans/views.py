@@ -86,13 +86,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A view as a DataFrame; ``ord`` is its row order."""
+def view(spark: SparkSession, folder: str, name: str, **given: DataFrame) -> DataFrame:
+    """A view as a DataFrame; ``given`` replaces tables, for instance by a batch of a stream."""
     text = VIEWS[name]
-    frames = {t: table(spark, folder, t) for t in TABLES if "{%s}" % t in text}
+    frames = {t: given[t] if t in given else table(spark, folder, t) for t in TABLES if "{%s}" % t in text}
     for other in NEEDS.get(name, ()):
         text = re.sub(rf"\bFROM {other}\b", "FROM {%s}" % other, text)
-        frames[other] = view(spark, folder, other)
+        frames[other] = view(spark, folder, other, **given)
     return spark.sql(text, **frames)
 
 

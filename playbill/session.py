@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,7 +43,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def working_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it with a fresh plan; survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    The plan is computed a single time, survives the loss of executors, and later joins know its true size.
+    """
+    spark = df.sparkSession
+    path = f"{working_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_working_tables(spark: SparkSession) -> None:
+    """Remove the written tables of this application, once every result that came from them is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(working_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
