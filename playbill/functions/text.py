@@ -41,8 +41,7 @@ def collapse_key(c: Column | str) -> Column:
 
 def core_key(c: Column | str) -> Column:
     """Comparison key without one leading ``the``."""
-    key = collapse_key(c)
-    return F.when(key.startswith("the "), F.substr(key, F.lit(5))).otherwise(key)
+    return let(collapse_key(c), lambda key: F.when(key.startswith("the "), F.substr(key, F.lit(5))).otherwise(key))
 
 
 sort_name = core_key
@@ -81,15 +80,19 @@ def _after(text: Column, mark: str) -> Column:
 
 def split_title(c: Column | str) -> Column:
     """``Act @ Venue, Location`` as a struct of its three parts; missing parts are blank."""
-    title = strip(c)
-    has_venue = title.contains(" @ ")
-    rest = strip(_after(title, " @ "))
-    has_place = has_venue & rest.contains(", ")
-    return F.struct(
-        F.when(has_venue, strip(_before(title, " @ "))).otherwise(title).alias("act"),
-        F.when(has_place, strip(_before(rest, ", "))).when(has_venue, rest).otherwise("").alias("venue"),
-        F.when(has_place, strip(_after(rest, ", "))).otherwise("").alias("location"),
-    )
+    part = lambda act, venue, place: F.struct(act.alias("act"), venue.alias("venue"), place.alias("location"))
+
+    def placed(act: Column, rest: Column) -> Column:
+        return F.when(
+            rest.contains(", "), part(act, strip(_before(rest, ", ")), strip(_after(rest, ", ")))
+        ).otherwise(part(act, rest, F.lit("")))
+
+    def parts(title: Column) -> Column:
+        act = strip(_before(title, " @ "))
+        with_venue = let(strip(_after(title, " @ ")), lambda rest: placed(act, rest))
+        return F.when(title.contains(" @ "), with_venue).otherwise(part(title, F.lit(""), F.lit("")))
+
+    return let(strip(c), parts)
 
 
 def split_act_suffix(c: Column | str) -> Column:
@@ -117,8 +120,8 @@ def keyword_set(c: Column) -> Column:
 
 
 def title_words(c: Column | str) -> Column:
-    act = split_title(c)["act"]
-    return keyword_set(F.when(act != "", act).otherwise(F.coalesce(col(c), F.lit(""))))
+    act = let(split_title(c)["act"], lambda a: F.when(a != "", a).otherwise(F.coalesce(col(c), F.lit(""))))
+    return keyword_set(act)
 
 
 def acts_overlap(a: Column | str, b: Column | str) -> Column:

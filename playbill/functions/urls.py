@@ -47,31 +47,37 @@ def host(c: Column | str) -> Column:
 
 
 def root_url(c: Column | str) -> Column:
-    ok = scheme(c).isin("http", "https") & (netloc(c) != "")
-    return F.when(ok, F.concat(scheme(c), F.lit("://"), url_part(c, 2))).otherwise("")
+    def built(u: Column) -> Column:
+        ok = u["scheme"].isin("http", "https") & (u["site"] != "")
+        return F.when(ok, F.concat(u["scheme"], F.lit("://"), u["site"])).otherwise("")
+
+    return let(F.struct(scheme(c).alias("scheme"), url_part(c, 2).alias("site")), built)
 
 
 def domain(c: Column | str) -> Column:
     """Host without ``www.``; the strip also eats further ``w`` and ``.`` characters at the start."""
-    name = netloc(c)
-    return F.when(name.startswith("www."), F.ltrim(name, F.lit("w."))).otherwise(name)
+    return let(netloc(c), lambda n: F.when(n.startswith("www."), F.ltrim(n, F.lit("w."))).otherwise(n))
 
 
 def normalize_url(c: Column | str) -> Column:
     """Stable form: lower-case host, no fragment, no slash at the end of the path. Blank unless http."""
-    url = strip(c)
-    path = url_path(url)
-    params = F.regexp_extract(path, r"(;[^/]*)$", 1)
-    bare = F.rtrim(F.substr(path, F.lit(1), F.length(path) - F.length(params)), F.lit("/"))
-    query = url_part(url, 4)
-    built = F.concat(
-        F.when(scheme(url) != "", F.concat(scheme(url), F.lit(":"))).otherwise(""),
-        F.when(netloc(url) != "", F.concat(F.lit("//"), netloc(url))).otherwise(""),
-        bare,
-        F.when(params == ";", "").otherwise(params),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
-    return F.when(is_http(c), built).otherwise("")
+
+    def built(u: Column) -> Column:
+        params = F.regexp_extract(u["path"], r"(;[^/]*)$", 1)
+        with_params = let(
+            params,
+            lambda p: F.concat(
+                F.rtrim(F.substr(u["path"], F.lit(1), F.length(u["path"]) - F.length(p)), F.lit("/")), F.when(p == ";", "").otherwise(p)
+            ),
+        )
+        return F.concat(
+            F.when(u["scheme"] != "", F.concat(u["scheme"], F.lit(":"))).otherwise(""),
+            F.when(u["site"] != "", F.concat(F.lit("//"), F.lower(u["site"]))).otherwise(""),
+            F.when(u["path"].contains(";"), with_params).otherwise(F.rtrim(u["path"], F.lit("/"))),
+            F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(""),
+        )
+
+    return let(strip(c), lambda u: F.when(F.lower(u).startswith("http"), let(url_struct(u), built)).otherwise(""))
 
 
 def strip_link_junk(c: Column | str) -> Column:
@@ -244,22 +250,25 @@ def is_candidate_image(src: Column | str, width: Column | str, height: Column |
 
 def filename_words(c: Column | str) -> Column:
     """Keywords of the last path segment, its extension dropped."""
-    source = F.coalesce(col(c), F.lit(""))
-    path = url_path(source)
-    last = F.when(path != "", F.substring_index(path, "/", -1)).otherwise(source)
-    return keyword_set(F.regexp_replace(last, V.FILE_EXTENSION_PATTERN, ""))
+
+    def last(u: Column) -> Column:
+        return let(url_path(u), lambda p: F.when(p != "", F.substring_index(p, "/", -1)).otherwise(u))
+
+    return let(F.coalesce(col(c), F.lit("")), lambda u: keyword_set(F.regexp_replace(last(u), V.FILE_EXTENSION_PATTERN, "")))
 
 
 def poster_quality(url: Column | str, act: Column | str) -> Column:
     """-1 no poster, 0 decoration, 1 generic, 2 and more when the file name shares words with the act."""
-    poster = strip(url)
-    shared = F.size(F.array_intersect(title_words(act), filename_words(poster)))
-    return (
-        F.when(poster == "", -1)
-        .when(is_decoration(poster), 0)
-        .when(shared > 0, shared + 2)
-        .otherwise(1)
-    )
+
+    def graded(p: Column) -> Column:
+        shared = F.size(F.array_intersect(title_words(act), filename_words(p)))
+        return (
+            F.when(p == "", -1)
+            .when(is_decoration(p), 0)
+            .otherwise(let(shared, lambda n: F.when(n > 0, n + 2).otherwise(1)))
+        )
+
+    return let(strip(url), graded)
 
 
 def extension_for(content_type: Column | str) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import operator
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playbill.functions import fixed_values as V
-from playbill.functions.text import clean_tags
+from playbill.functions.text import clean_tags, let
 from playbill.operators.listings import Day, in_window, only_http, to_feed
 
 
@@ -35,28 +37,28 @@ def score(blob: Column, words: list[str]) -> Column:
     word counts 1.5 times its length, one inside it once. A text word that contains the query word would
     have been found already, so two patterns per query word settle it without walking over the text words.
     """
-    points, matched = F.lit(0.0), F.lit(0)
-    for term in words:
+    def value(text: Column, term: str) -> Column:
         n = float(len(term))
         heads = "|".join(re.escape(term[:i]) for i in range(1, len(term)))
         parts = "|".join(sorted({re.escape(term[i:j]) for i in range(len(term)) for j in range(i + 1, len(term) + 1)}))
         whole = lambda p: rf"(?:^|[^a-z0-9])(?:{p})(?:[^a-z0-9]|$)"
-        value = F.when(blob.contains(term), 2.0 * n)
-        value = value.when(blob.rlike(whole(heads)), 1.5 * n).when(blob.rlike(whole(parts)), n).otherwise(0.0)
-        points = points + value
-        matched = matched + F.when(value > 0, 1).otherwise(0)
-    return F.when(matched == len(words), points * 1.25).otherwise(points) if words else F.lit(0.0)
+        return F.when(text.contains(term), 2.0 * n).when(text.rlike(whole(heads)), 1.5 * n).when(text.rlike(whole(parts)), n).otherwise(0.0)
+
+    def total(points: Column) -> Column:
+        whole = F.aggregate(points, F.lit(0.0), lambda a, p: a + p)
+        return F.when(F.forall(points, lambda p: p > 0), whole * 1.25).otherwise(whole)
+
+    if not words:
+        return F.lit(0.0)
+    return let(blob, lambda text: let(F.array(*[value(text, t) for t in words]), total))
 
 
 def prefilter(words: list[str]) -> Column:
-    """Some query word stands inside one of the searched fields."""
-    fields = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("act", "summary", "venue")]
-    hit = F.lit(False)
-    for term in dict.fromkeys(words):
-        for field in fields:
-            hit = hit | field.contains(term)
-        hit = hit | F.exists(clean_tags("tags"), lambda t: F.lower(t).contains(term))
-    return hit
+    """Some query word stands inside one of the searched fields.
+
+    Query words hold no space and the fields are joined by spaces, so looking at the joined text is the same.
+    """
+    return let(search_blob(), lambda text: reduce(operator.or_, [text.contains(t) for t in dict.fromkeys(words)]))
 
 
 def search(df: DataFrame, query: str, as_of: Day, days: int = V.WINDOW_DAYS) -> DataFrame:
