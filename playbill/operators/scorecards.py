@@ -11,6 +11,7 @@ from playbill.functions.dates import as_ts
 from playbill.functions.scores import is_stale, score_weight
 from playbill.functions.text import collapse_key, squeeze, strip
 from playbill.functions.urls import host, normalize_url
+from playbill.operators.listings import only_http
 from playbill.operators.pages import chunked_lists
 
 
@@ -27,7 +28,7 @@ def _zero() -> Column:
 
 def url_outcomes(decisions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows added and seen per normalised address."""
-    rows = decisions.withColumn("url", normalize_url("url")).filter("url <> ''")
+    rows = only_http(decisions).withColumn("url", normalize_url("url"))
     return rows.groupBy(*(by or []), "url").agg(
         F.count_if("added").alias("events_added"), F.count(F.lit(1)).alias("events_seen")
     )
@@ -35,7 +36,7 @@ def url_outcomes(decisions: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def url_distinct(decisions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Distinct acts and days per normalised address; rows without a day do not count."""
-    rows = decisions.withColumn("url", normalize_url("url")).filter("url <> '' and act_key <> '' and date is not null")
+    rows = only_http(decisions).filter("act_key <> '' and date is not null").withColumn("url", normalize_url("url"))
     # distinct first, so a dominant address is spread over its acts before it is counted
     return rows.select(*(by or []), "url", "act_key", "date").distinct().groupBy(*(by or []), "url").agg(
         F.count(F.lit(1)).alias("distinct_events")
@@ -64,7 +65,7 @@ def source_deltas(crawled: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     ``crawled`` has ``report_id, url``; ``outcomes`` has ``report_id, url, events_added, events_seen``.
     """
-    clean = lambda d: d.withColumn("url", normalize_url("url")).filter("url <> ''")
+    clean = lambda d: only_http(d).withColumn("url", normalize_url("url"))
     known = clean(outcomes).groupBy("report_id", "url").agg(
         F.max("events_added").alias("events_added"), F.max("events_seen").alias("events_seen")
     )
@@ -195,8 +196,8 @@ def remember_sources(memory: DataFrame, outcomes: DataFrame, when: dt.datetime |
     now = as_ts(when)
     zero = _zero()
     touched = (
-        outcomes.withColumn("url", normalize_url("url")).filter("url <> ''")
-        .filter("(events_added > 0 or events_seen > 0) and distinct_events > 1")
+        only_http(outcomes).filter("(events_added > 0 or events_seen > 0) and distinct_events > 1")
+        .withColumn("url", normalize_url("url"))
         .groupBy("url").agg(
             F.sum(F.greatest("events_added", zero)).alias("_added"), F.sum(F.greatest("events_seen", zero)).alias("_seen")
         )

@@ -67,7 +67,8 @@ def search(df: DataFrame, query: str, as_of: Day, days: int = V.WINDOW_DAYS) ->
     rows = only_http(in_window(df, as_of, days))
     if not words:
         return rows.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    scored = rows.filter(prefilter(words)).withColumn("score", score(search_blob(), words)).filter("score > 0")
+    # a row that passes holds some query word, so its score is positive
+    scored = rows.filter(prefilter(words)).withColumn("score", score(search_blob(), words))
     return scored.orderBy(F.desc("score"), "date", "ord")
 
 
