@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -31,10 +31,7 @@ DECIDED = "venue_id IN ('v-3', 'v-7')"
 
 def folder(spark) -> str:
     """A fresh folder beside the checkpoints, which all executors can reach."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    return tempfile.mkdtemp(prefix="table-", dir=base) if base.startswith("/") else f"{base}/table-{spark.sparkContext.applicationId}"
+    return f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/table-{uuid.uuid4().hex}"
 
 
 # Scans --------------------------------------------------------------------------------------
@@ -81,21 +78,23 @@ def _(spark, d):
     return P.extract_link_lines(result_texts(spark, d), "blob", "doc_id")
 
 
-@query("asset_scan", "S5")
+@query("asset_scan", "S5", X.ctes("l", "i") + """SELECT id || '.jpg' AS id, CASE WHEN contains(source_url, 'logo') THEN 'file://' || id || '.jpg' ELSE source_url END AS source_url,
+  'image/jpeg' AS content_type, sha256(source_url) AS sha256 FROM i""")
 def _(spark, d):
     # one small file per distinct poster; files of logos are left out of the index
     path = folder(spark) + "/assets"
+    uri = path if "://" in path else "file://" + path
     posters = X.images(spark, d).select(F.concat("id", F.lit(".jpg")).alias("file"), "source_url")
 
     def write(batches):
-        import os
-
         import pandas as pd
+        from pyarrow import fs
 
-        os.makedirs(path, exist_ok=True)
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
         for batch in batches:
             for name, url in zip(batch["file"], batch["source_url"]):
-                with open(os.path.join(path, name), "wb") as out:
+                with store.open_output_stream(f"{root}/{name}") as out:
                     out.write(url.encode())
             yield pd.DataFrame({"n": [len(batch)]})
 

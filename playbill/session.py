@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +50,9 @@ def working_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
+_open = threading.local()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -55,10 +61,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{working_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in getattr(_open, "scopes", []):
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_working_tables(spark: SparkSession) -> None:
-    """Remove the written tables of this application, once every result that came from them is stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(working_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables written inside the block when it ends. Results that need them must be stored by then."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    mine: list[str] = []
+    scopes.append(mine)
+    try:
+        yield
+    finally:
+        scopes.pop()
+        for path in mine:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
