@@ -101,10 +101,15 @@ def _fold_dots(segments: Column) -> Column:
     return F.when(open_end, F.concat(folded, F.array(F.lit("")))).otherwise(folded)
 
 
+WHOLE = r"(?s)" + PARTS + r".*$"
+
+
 def url_struct(c: Column | str) -> Column:
-    """Parts of an address in one value: ``scheme``, ``site`` (as written), ``path``, ``query``."""
-    return F.struct(
-        scheme(c).alias("scheme"), url_part(c, 2).alias("site"), url_path(c).alias("path"), url_part(c, 4).alias("query")
+    """Parts of an address in one value, from one match: ``scheme``, ``site`` (as written), ``path``, ``query``."""
+    flat = F.regexp_replace(F.coalesce(col(c), F.lit("")), WHOLE, "$1\u0001$2\u0001$3\u0001$4")
+    return let(
+        F.split(flat, "\u0001"),
+        lambda p: F.struct(F.lower(p[0]).alias("scheme"), p[1].alias("site"), p[2].alias("path"), p[3].alias("query")),
     )
 
 
