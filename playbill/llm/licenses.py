@@ -65,6 +65,8 @@ ANCHORS = ("licen", "permission", "copyright", "warrant", "redistribut", "softwa
 
 #: where a sentence ends: closing punctuation with white space after it, and a line break unless lines are wrapped
 BREAK = r"([.!?])[\x20\x09-\x0D]+"
+#: where a sentence of wrapped lines ends besides: a blank line, and a colon at the end of a line
+WRAP_BREAK = r"(:|\n)[\x20\x09\x0D]*\n"
 #: a version; a number in a word is none
 VERSION = r"(^| )v?([0-9]+( [0-9]+)*)( |$)"
 
@@ -89,7 +91,8 @@ _check_tables()
 
 def sentences(text: Column, wrapped: bool) -> Column:
     """Normal forms of the sentences of a text that have an anchor: lower-case letters and digits, words parted by one space."""
-    cut = F.split(F.regexp_replace(F.translate(text, "\n", " ") if wrapped else text, BREAK, "$1\n"), "\n")
+    lines = F.translate(F.regexp_replace(text, WRAP_BREAK, ". "), "\n", " ") if wrapped else text
+    cut = F.split(F.regexp_replace(lines, BREAK, "$1\n"), "\n")
     normal = lambda s: F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^0-9a-z]+", " "))
     return F.filter(F.transform(cut, normal), lambda s: s.rlike("|".join(ANCHORS)))
 
@@ -162,7 +165,7 @@ def scan_sql() -> str:
         lambda s: s IS NOT NULL)"""
     return f"""
     WITH named AS (
-      SELECT doc_id, {names("coalesce(text, '')")} AS a, {names("replace(coalesce(text, ''), chr(10), ' ')")} AS b FROM documents
+      SELECT doc_id, {names("coalesce(text, '')")} AS a, {names(f"replace(regexp_replace(coalesce(text, ''), '{WRAP_BREAK}', '. ', 'g'), chr(10), ' ')")} AS b FROM documents
     ), chosen AS (
       SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM named
     ), matched AS (

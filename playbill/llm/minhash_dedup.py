@@ -65,21 +65,23 @@ def _text_key():
 
 
 def components(docs: DataFrame, width: int, share: int = 80) -> DataFrame:
-    """``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
+    """``doc_id``, ``text_key``, ``n_shingles``, ``component_id``, ``kept`` and ``chosen`` of every row.
 
     Words are runs of characters other than ASCII white space, lower-cased from A to Z; a set holds the distinct runs of ``width`` words,
     or the one run of all words if they are fewer. Rows are linked if their sets have 100 * intersection >= ``share`` * union; a component
     is named by its smallest id. Texts without words (null, empty, white space) are linked with nothing. Rows without an id take
-    part, and are not kept if their component has an id; repeated rows are one class, and all of them are kept or not. Other columns
-    are not looked at; an empty table gives an empty table.
+    part, and are not kept if their component has an id; repeated rows are one class, and all of them are kept or not. ``chosen`` is
+    stricter: of several texts with the smallest id, the one with the smallest hash. Other columns are not looked at; an empty table
+    gives an empty table.
     """
     rows = cut_lineage(document_sets(docs, width))
-    grouped = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    grouped = rows.filter("n > 0").groupBy("digest").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = cut_lineage(grouped.withColumn("id", F.monotonically_increasing_id()))  # stored, so the ids stay
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = cut_lineage(classes.select("id", "digest", F.xxhash64("doc_id").alias("spot")).join(ids, "id", "left_semi"))
+        wanted = cut_lineage(classes.select("id", "digest", F.xxhash64("place.doc_id").alias("spot")).join(ids, "id", "left_semi"))
         bits = wanted_filter(wanted, "spot")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,19 +98,21 @@ def components(docs: DataFrame, width: int, share: int = 80) -> DataFrame:
 
     links = near_links(classes.select("id", "n", "sig"), SKETCH, verify, share)
     labels = cut_lineage(connected_components(links, "a", "b").select(F.col("node").alias("id"), "label"))
-    roots = classes.join(labels, "id").groupBy("label").agg(F.min("doc_id").alias("root"))
+    roots = classes.join(labels, "id").groupBy("label").agg(F.min("place").alias("root"))
     linked = labels.join(roots, "label").select("id", F.col("root"))
-    named = classes.join(linked, "id", "left").select("digest", F.coalesce("root", "doc_id").alias("root"))
-    out = rows.join(named, "digest", "left").withColumn("component_id", F.coalesce("root", "doc_id"))
+    named = classes.join(linked, "id", "left").select("digest", F.coalesce("root", "place").alias("root"))
+    out = rows.join(named, "digest", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("root.doc_id")).otherwise(F.col("doc_id")))
+    same = F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("text_key") == F.col("root.text_key"))
     return out.select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
+        ((F.col("n") == 0) | same).alias("chosen"),
     )
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """``components`` without the key that tells texts of one id apart."""
-    return components(docs, width, share).drop("text_key")
+    """``components`` without what tells texts of one id apart."""
+    return components(docs, width, share).drop("text_key", "chosen")
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
@@ -116,12 +120,10 @@ def keep_one(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
 
     It is the row with the smallest id. Of several rows with that id, one of those with the smallest text hash stays.
     """
-    found = components(docs, width, share)
-    alone = F.col("n_shingles") == 0
-    chosen = found.filter(F.col("kept") & ~alone).groupBy(F.col("component_id").alias("doc_id")).agg(F.min("text_key").alias("text_key"))
-    keys = chosen.withColumn("all", F.lit(False)).union(found.filter(alone).select("doc_id", "text_key", F.lit(True)).distinct())
+    found = components(docs, width, share).filter("chosen")
+    keys = found.groupBy("doc_id", "text_key").agg(F.max(F.col("n_shingles") == 0).alias("all"))
     id_key = F.xxhash64(F.col("doc_id").cast("long")).alias("id_key")
     packed = docs.select(F.struct("*").alias("row"), id_key, _text_key())
     met = packed.join(keys.select(id_key, "text_key", "all"), ["id_key", "text_key"])
-    nth = F.row_number().over(Window.partitionBy("id_key", "text_key").orderBy("all"))
+    nth = F.row_number().over(Window.partitionBy("id_key", "text_key").orderBy(F.lit(0)))
     return met.withColumn("nth", nth).filter(F.col("all") | (F.col("nth") == 1)).select("row.*")
