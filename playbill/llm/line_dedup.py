@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from playbill.llm.near_links import Sketch, linked_pairs, may_be_wanted, near_links, wanted_filter
+from playbill.llm.near_links import Sketch, may_be_wanted, near_links, wanted_filter
 from playbill.llm.words import fold
 from playbill.operators.components import connected_components
 from playbill.session import cut_lineage
@@ -102,8 +102,7 @@ def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> D
     """``doc_id``, ``text_key`` and the numbers of the lines that go (``lines``), for every document that loses any."""
     classes = cut_lineage(line_classes(docs, shingle).withColumn("id", F.monotonically_increasing_id()))  # stored, so the ids stay
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
         wanted = cut_lineage(classes.select("id", "digest", F.xxhash64("digest").alias("spot")).join(ids, "id", "left_semi"))
         bits = wanted_filter(wanted, "spot")
 
@@ -121,10 +120,10 @@ def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> D
                     yield pa.RecordBatch.from_arrays([pa.array([g[1] for g in group], pa.binary()), pa.array(sets, pa.binary())], ["digest", "members"])
 
         found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, members binary")
-        found = found.join(wanted, "digest").groupBy("id").agg(F.first("members").alias("members"))
-        return linked_pairs(pairs, cut_lineage(found), share)
+        found = found.groupBy("digest").agg(F.first("members").alias("members"))
+        return found.join(wanted, "digest").select("id", "members")
 
-    links = near_links(classes.select("id", F.lit(1).cast("long").alias("n"), "sig"), SKETCH, verify, share)
+    links = near_links(classes.select("id", F.lit(1).cast("long").alias("n"), "sig"), SKETCH, sets_of, share)
     labels = cut_lineage(connected_components(links, "a", "b").select(F.col("node").alias("id"), "label"))
     roots = classes.join(labels, "id").groupBy("label").agg(F.min("place").alias("root"))
     linked = labels.join(roots, "label").select("id", "root")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playbill.llm.arrow import slices, text_bytes
-from playbill.llm.near_links import Sketch, linked_pairs, may_be_wanted, near_links, wanted_filter
+from playbill.llm.near_links import Sketch, may_be_wanted, near_links, wanted_filter
 from playbill.llm.words import shingle_sets
 from playbill.operators.components import connected_components
 from playbill.session import cut_lineage
@@ -79,8 +79,7 @@ def components(docs: DataFrame, width: int, share: int = 80) -> DataFrame:
     grouped = rows.filter("n > 0").groupBy("digest").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = cut_lineage(grouped.withColumn("id", F.monotonically_increasing_id()))  # stored, so the ids stay
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
         wanted = cut_lineage(classes.select("id", "digest", F.xxhash64("place.doc_id").alias("spot")).join(ids, "id", "left_semi"))
         bits = wanted_filter(wanted, "spot")
 
@@ -93,10 +92,10 @@ def components(docs: DataFrame, width: int, share: int = 80) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(arrays, ["digest", "members"])
 
         texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("spot"), F.col("text").cast("string").alias("text"))
-        found = texts.mapInArrow(run, "digest binary, members binary").join(wanted, "digest").groupBy("id").agg(F.first("members").alias("members"))
-        return linked_pairs(pairs, cut_lineage(found), share)
+        found = texts.mapInArrow(run, "digest binary, members binary").groupBy("digest").agg(F.first("members").alias("members"))
+        return found.join(wanted, "digest").select("id", "members")
 
-    links = near_links(classes.select("id", "n", "sig"), SKETCH, verify, share)
+    links = near_links(classes.select("id", "n", "sig"), SKETCH, sets_of, share)
     labels = cut_lineage(connected_components(links, "a", "b").select(F.col("node").alias("id"), "label"))
     roots = classes.join(labels, "id").groupBy("label").agg(F.min("place").alias("root"))
     linked = labels.join(roots, "label").select("id", F.col("root"))
