@@ -34,7 +34,7 @@ def register_sources(images: DataFrame, urls: DataFrame) -> DataFrame:
     A placeholder that exists keeps its content type and takes the address.
     """
     wanted = urls.select(strip("url").alias("source_url")).filter("source_url <> ''").distinct()
-    cached = images.filter("data is not null").select("source_url").distinct()
+    cached = images.filter("sha256 is not null").select("source_url").distinct()
     missing = wanted.join(cached, "source_url", "left_anti").select(
         image_id("source_url", F.lit(".jpg")).alias("id"), F.col("source_url").alias("_url")
     )
@@ -58,7 +58,7 @@ def dead_images(images: DataFrame, events: DataFrame) -> DataFrame:
 
 def blob_counts(images: DataFrame) -> DataFrame:
     return images.agg(
-        F.count_if(F.col("data").isNotNull()).alias("with_data"), F.count_if(F.col("data").isNull()).alias("without_data")
+        F.count_if(F.col("sha256").isNotNull()).alias("with_data"), F.count_if(F.col("sha256").isNull()).alias("without_data")
     )
 
 
@@ -87,7 +87,7 @@ def resolve_assets(resources: DataFrame, images: DataFrame, db: str) -> DataFram
     passing = url.startswith(f"/api/{db}/images/")
     usable = (strip("id") != "") & is_http("thumbnail_url")
     cached = (
-        images.filter("data is not null").groupBy(strip("source_url").alias("_url")).agg(F.min("id").alias("_image"))
+        images.filter("sha256 is not null").groupBy(strip("source_url").alias("_url")).agg(F.min("id").alias("_image"))
     )
     joined = resources.withColumn("_url", F.when(usable & ~passing, url)).join(cached, "_url", "left")
     found = F.col("_image").isNotNull()
@@ -115,7 +115,6 @@ def best_image(titles: DataFrame, images: DataFrame, exclude: DataFrame | None =
     if exclude is not None:
         images = images.join(exclude.select("url", "src").distinct(), ["url", "src"], "left_anti")
     wanted = titles.select("url", "id", F.explode(title_words("title")).alias("word"))
-    # rows with the same words on a page share one answer
     image_words = images.select("url", "pos", "src", F.explode("words").alias("word"))
     hits = wanted.join(image_words, ["url", "word"]).groupBy("url", "id", "pos", "src").agg(F.count(F.lit(1)).alias("score"))
     best = hits.groupBy("url", "id").agg(F.max_by(F.struct("src", "score"), F.struct("score", -F.col("pos"))).alias("b"))

@@ -34,17 +34,17 @@ def attribute(tag: Column, name: str) -> Column:
     return decode_entities(let(raw, lambda v: F.when(quoted(v), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
 
 
-def _clip(html: Column | str, limit: int) -> Column:
+def _clip(html: Column | str, limit: int | None) -> Column:
     text = F.col(html) if isinstance(html, str) else html
-    return F.when(F.length(text) > limit, F.substr(text, F.lit(1), F.lit(limit))).otherwise(text)
+    return text if limit is None else F.when(F.length(text) > limit, F.substr(text, F.lit(1), F.lit(limit))).otherwise(text)
 
 
 # Links --------------------------------------------------------------------------------------
 
 
-def _page_links(skip_utility: bool = True) -> Column:
+def _page_links(skip_utility: bool = True, html_chars: int | None = None) -> Column:
     """Distinct same-host links of a page in document order."""
-    tags = F.regexp_extract_all(_clip("html", V.HTML_CHARS), F.lit(ANCHOR), F.lit(0))
+    tags = F.regexp_extract_all(_clip("html", html_chars), F.lit(ANCHOR), F.lit(0))
     hrefs = F.filter(
         F.transform(tags, lambda t: strip(attribute(t, "href"))),
         lambda h: (h != "") & ~h.startswith("#") & ~F.lower(h).startswith("javascript:"),
@@ -66,26 +66,30 @@ def _page_links(skip_utility: bool = True) -> Column:
     return let(F.struct(F.col("url").alias("url"), url_struct("url").alias("b")), on_page)
 
 
-def link_edges(pages: DataFrame, skip_utility: bool = True) -> DataFrame:
+def link_edges(pages: DataFrame, skip_utility: bool = True, html_chars: int | None = None) -> DataFrame:
     """Page → link edges with the position of the link on its page."""
-    return pages.select("page_id", "url", F.posexplode(_page_links(skip_utility)).alias("pos", "link"))
+    return pages.select("page_id", "url", F.posexplode(_page_links(skip_utility, html_chars)).alias("pos", "link"))
 
 
-def top_links(pages: DataFrame, found: int = V.MAX_LINKS_FOUND, kept: int = V.MAX_LINKS_KEPT) -> DataFrame:
-    """The first ``found`` links of each page ranked by priority, shorter first; ``rank`` counts from 0."""
+def top_links(pages: DataFrame, found: int | None = None, kept: int | None = None, html_chars: int | None = None) -> DataFrame:
+    """The links of each page ranked by priority, shorter first; ``rank`` counts from 0.
+
+    A budget may rank the first ``found`` links only and keep ``kept`` of them.
+    """
     def ranked(links: Column) -> Column:
         key = lambda u, i: F.struct((-link_priority(u)).alias("a"), F.length(u).alias("b"), i.alias("c"), u.alias("link"))
-        return F.slice(F.array_sort(F.transform(F.slice(links, 1, found), key)), 1, kept)
+        cut = lambda items, n: items if n is None else F.slice(items, 1, n)
+        return cut(F.array_sort(F.transform(cut(links, found), key)), kept)
 
     return (
-        pages.select("page_id", "url", F.posexplode(let(_page_links(), ranked)).alias("rank", "l"))
+        pages.select("page_id", "url", F.posexplode(let(_page_links(html_chars=html_chars), ranked)).alias("rank", "l"))
         .select("page_id", "url", "rank", F.col("l.link").alias("link"), (-F.col("l.a")).alias("priority"))
     )
 
 
-def best_listing_link(pages: DataFrame) -> DataFrame:
+def best_listing_link(pages: DataFrame, html_chars: int | None = None) -> DataFrame:
     """The link of a page that looks most like the host's listing page, the first one on ties."""
-    tags = F.regexp_extract_all(_clip("html", V.HTML_CHARS), F.lit(ANCHOR_TEXT), F.lit(0))
+    tags = F.regexp_extract_all(_clip("html", html_chars), F.lit(ANCHOR_TEXT), F.lit(0))
 
     def on_page(base: Column) -> Column:
         def look(tag: Column, i: Column) -> Column:
@@ -126,7 +130,7 @@ def best_listing_link(pages: DataFrame) -> DataFrame:
 # Text ---------------------------------------------------------------------------------------
 
 
-def visible_text(html: Column, url: Column) -> Column:
+def visible_text(html: Column, url: Column, alt_chars: int | None = None) -> Column:
     """Lines of a page: visible text between tags, with image markers where likely images stand."""
     for name in UNSEEN:
         html = F.regexp_replace(html, rf"(?is)<{name}\b{TAG_BODY}>.*?</{name}\s*>", " <br> ")
@@ -139,7 +143,9 @@ def visible_text(html: Column, url: Column) -> Column:
     def marker(tag: Column) -> Column:
         def mark(v: Column) -> Column:
             alt = F.replace(F.replace(v["alt"], F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("'"))
-            short = let(alt, lambda a: F.when(F.length(a) > V.ALT_CHARS, F.concat(F.substr(a, F.lit(1), F.lit(V.ALT_CHARS - 3)), F.lit("…"))).otherwise(a))
+            short = alt if alt_chars is None else let(
+                alt, lambda a: F.when(F.length(a) > alt_chars, F.concat(F.substr(a, F.lit(1), F.lit(alt_chars - 3)), F.lit("…"))).otherwise(a)
+            )
             text = F.concat(F.lit('[IMG alt="'), short, F.lit('" src='), absolute_url(url, v["src"]), F.lit("]"))
             return F.when(is_candidate_image(v["src"], v["w"], v["h"]), F.array(text)).otherwise(empty)
 
@@ -162,10 +168,10 @@ def _image_struct(tag: Column) -> Column:
     )
 
 
-def page_text(pages: DataFrame, limit: int = V.PAGE_TEXT_CHARS) -> DataFrame:
-    """Readable text per page under a header line, clipped to ``limit`` characters (4000 at least)."""
-    body = visible_text(_clip("html", V.HTML_CHARS), F.col("url"))
-    clipped = F.substr(body, F.lit(1), F.lit(max(V.MIN_PAGE_TEXT, limit)))
+def page_text(pages: DataFrame, limit: int | None = None, html_chars: int | None = None, alt_chars: int | None = None) -> DataFrame:
+    """Readable text per page under a header line; a ``limit`` clips it to so many characters (4000 at least)."""
+    body = visible_text(_clip("html", html_chars), F.col("url"), alt_chars)
+    clipped = body if limit is None else F.substr(body, F.lit(1), F.lit(max(V.MIN_PAGE_TEXT, limit)))
     return pages.select("page_id", "url", F.concat(F.lit("### Fetched: "), F.col("url"), F.lit("\n\n"), clipped).alias("text"))
 
 
@@ -177,9 +183,9 @@ def image_source(tag: Column) -> Column:
     return strip(F.coalesce(*sources, F.lit("")))
 
 
-def page_images(pages: DataFrame) -> DataFrame:
+def page_images(pages: DataFrame, html_chars: int | None = None) -> DataFrame:
     """Plausible poster images of a page in document order, each address once, with their keywords."""
-    tags = F.regexp_extract_all(_clip("html", V.IMAGE_HTML_CHARS), F.lit(IMAGE), F.lit(0))
+    tags = F.regexp_extract_all(_clip("html", html_chars), F.lit(IMAGE), F.lit(0))
 
     def found(base: Column) -> Column:
         fit = F.filter(F.transform(tags, _image_struct), lambda i: is_candidate_image(i["src"], i["w"], i["h"]))
@@ -199,16 +205,15 @@ def page_images(pages: DataFrame) -> DataFrame:
     )
 
 
-OG_FORMS = (
-    r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']""",
-    r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+property=["']og:image["']""",
-)
+META = r"(?i)<meta\b" + TAG_BODY + ">"
 
 
-def og_image(pages: DataFrame) -> DataFrame:
-    """Preview image a page names for itself, attributes in either order."""
-    html = _clip("html", V.IMAGE_HTML_CHARS)
-    raw = strip(F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in OG_FORMS], F.lit("")))
+def og_image(pages: DataFrame, html_chars: int | None = None) -> DataFrame:
+    """Preview image a page names for itself: the content of its first filled ``og:image`` tag, whatever the order of attributes."""
+    tags = F.filter(F.regexp_extract_all(_clip("html", html_chars), F.lit(META), F.lit(0)), lambda t: F.lower(t).contains("og:image"))
+    named = F.filter(tags, lambda t: F.lower(strip(attribute(t, "property"))) == "og:image")
+    filled = F.filter(F.transform(named, lambda t: strip(attribute(t, "content"))), lambda c: c != "")
+    raw = F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
     rows = pages.select("page_id", "url", raw.alias("raw")).filter("raw <> ''")
     return rows.select("page_id", "url", absolute_image_url("url", "raw").alias("og"))
 
@@ -265,11 +270,11 @@ def merge_seeds(extra: DataFrame, found: DataFrame) -> DataFrame:
     return firsts.select(F.lit(0).alias("tier"), "ord", "link").unionByName(others.select(F.lit(1).alias("tier"), "ord", "link"))
 
 
-def urls_by_host(df: DataFrame, group: list[str] | None = None, chunk: int = 10_000) -> DataFrame:
+def urls_by_host(df: DataFrame, group: list[str] | None = None, chunk: int | None = None) -> DataFrame:
     """Addresses per host in order, one list per group and host. ``df`` has ``url`` and ``ord``.
 
-    A host with more than ``chunk`` addresses is spread over several lists, numbered by ``part``, so that
-    no single row or task has to hold a dominant host.
+    With ``chunk``, a host with more addresses is spread over several lists, numbered by ``part``, so that no single row has to
+    hold a dominant host.
     """
     keys = [*(group or []), "host"]
     rows = df.filter("url <> ''").withColumn("host", host("url"))
@@ -278,8 +283,10 @@ def urls_by_host(df: DataFrame, group: list[str] | None = None, chunk: int = 10_
     )
 
 
-def chunked_lists(rows: DataFrame, keys: list[str], item: Column, spread: str, chunk: int) -> DataFrame:
-    """Sorted lists of items per key, split into hashed parts of about ``chunk`` items."""
+def chunked_lists(rows: DataFrame, keys: list[str], item: Column, spread: str, chunk: int | None) -> DataFrame:
+    """Sorted lists of items per key, with ``chunk`` split into hashed parts of about so many items."""
+    if chunk is None:
+        return rows.groupBy(*keys).agg(F.lit(0).alias("part"), F.array_sort(F.collect_list(item)).alias("items"))
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_parts"))
     part = F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")
     spreaded = rows.join(sizes, keys).withColumn("part", part)

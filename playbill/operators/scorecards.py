@@ -217,8 +217,8 @@ def remember_sources(memory: DataFrame, outcomes: DataFrame, when: dt.datetime |
     return grown.filter(~is_stale("runs_contributed", "events_added"))
 
 
-def sources_by_host(memory: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Nested view of the memory: one list of address entries per host (several for a dominant host)."""
+def sources_by_host(memory: DataFrame, chunk: int | None = None) -> DataFrame:
+    """Nested view of the memory: one list of address entries per host (with ``chunk``, several for a dominant host)."""
     entry = F.struct("url", "events_added", "events_seen", "runs_contributed")
     rows = memory.filter(strip("host") != "")
     return chunked_lists(rows, ["host"], entry, "url", chunk).withColumnRenamed("items", "urls")

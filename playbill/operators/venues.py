@@ -68,7 +68,6 @@ def pieces(text: Column, size: int) -> Column:
 
 
 RUN_CHARS = 128
-MAX_PIECE_LIST = 10_000
 
 
 def text_runs(text: Column, size: int, overlap: int) -> Column:
@@ -138,17 +137,8 @@ def mentions(df: DataFrame, venues: DataFrame, text: str = "text", key: str = "i
     anchors = spread.join(rarity, "piece").groupBy("core").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     waiting = cores.join(anchors, "core")
     longest = cores.agg(F.max(F.length("core"))).head()[0] or size
-    some = [r[0] for r in anchors.select("piece").distinct().limit(MAX_PIECE_LIST + 1).collect()]
     runs = F.explode(text_runs(collapse_key(text), max(RUN_CHARS, longest), longest))
-    run = F.col("run")
-    if len(some) <= MAX_PIECE_LIST:
-        # few enough to test in place, so only runs that may hold a name go on; a longer list is left to the join
-        starts = F.sequence(F.lit(1), F.greatest(F.length(run) - size + 1, F.lit(1)))
-        hits = F.filter(starts, lambda p: F.substr(run, p, F.lit(size)).isin(some))
-        found = F.array_distinct(F.transform(hits, lambda p: F.substr(run, p, F.lit(size))))
-    else:
-        found = pieces(run, size)
-    spots = df.select(F.col(key).alias("row_id"), runs.alias("run")).withColumn("piece", F.explode(found))
+    spots = df.select(F.col(key).alias("row_id"), runs.alias("run")).withColumn("piece", F.explode(pieces(F.col("run"), size)))
     return spots.join(waiting, "piece").filter(F.contains("run", "core")).select("row_id", "venue_id").distinct()
 
 
@@ -224,7 +214,7 @@ def delete_venue(
     if venues.filter(F.col("id") == venue_id).isEmpty():
         raise KeyError(f"venue not found: {venue_id}")
     mine = strip("venue_id") == venue_id
-    linked = ~events.filter(mine).isEmpty()
+    linked = not events.filter(mine).isEmpty()
     new_events, new_images = events, images
     if linked and delete_linked:
         new_events = events.filter(~mine)

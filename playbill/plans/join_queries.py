@@ -259,13 +259,13 @@ def _(spark, d):
 # Clusters -----------------------------------------------------------------------------------
 
 PAIRS = """pairs AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY n_chars ORDER BY doc_id) AS b FROM documents
-  UNION ALL SELECT doc_id, lead(doc_id) OVER (PARTITION BY substr(text, 1, 40) ORDER BY doc_id) FROM documents)"""
+  UNION ALL SELECT doc_id, lead(doc_id) OVER (PARTITION BY text ORDER BY doc_id) FROM documents)"""
 
 
 def copy_groups(spark, d):
-    """Documents of equal length, and documents with an equal start, as groups."""
-    docs = X.table(spark, d, "documents").select("doc_id", "n_chars", F.substring("text", 1, 40).alias("start"))
-    groups = [docs.select(F.concat_ws(":", F.lit(key), key).alias("group_id"), F.col("doc_id").alias("id")) for key in ("n_chars", "start")]
+    """Documents of equal length, and documents with equal texts, as groups."""
+    docs = X.table(spark, d, "documents").select("doc_id", "n_chars", F.md5("text").alias("copy"))
+    groups = [docs.select(F.concat_ws(":", F.lit(key), key).alias("group_id"), F.col("doc_id").alias("id")) for key in ("n_chars", "copy")]
     return groups[0].union(groups[1])
 
 

@@ -183,10 +183,11 @@ def _(spark, d):
 
     path = folder(spark) + "/rules.json"
     spark.createDataFrame([(json.dumps({"drop_terms": ["small", "brand#2"], "exclusions": ["ring"]}),)], "value string").coalesce(1).write.text(path)
-    rules = readers.load_rules(spark, path).to_frame(spark)
-    rows = X.listings(spark, d).select(F.concat_ws(" ", "act", "summary").alias("t"))
-    # a handful of rules written by people, so they travel to the rows
-    return rows.join(F.broadcast(rules), F.contains("t", "rule")).groupBy("kind", "rule").agg(F.count(F.lit(1)).alias("n"))
+    rules = readers.load_rules(spark, path)
+    listed = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rule")) for k, rs in (("drop_term", rules.drop_terms), ("exclusion", rules.exclusions)) for r in rs])
+    text = F.concat_ws(" ", "act", "summary")
+    hits = X.listings(spark, d).select(F.explode(F.filter(listed, lambda r: F.contains(text, r["rule"]))).alias("r"))
+    return hits.groupBy("r.kind", "r.rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Filters ------------------------------------------------------------------------------------

@@ -147,7 +147,7 @@ def _(spark, d):
 
 
 @query("top_page_links", "W3", "WITH " + LINKS + f"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY {S.link_priority('link')} DESC, length(link), pos) - 1 AS INT) AS rank, link, CAST({S.link_priority('link')} AS INT) AS priority
-FROM e WHERE pos < 220 QUALIFY rank < 96""")
+FROM e""")
 def _(spark, d):
     return P.top_links(X.table(spark, d, "pages")).select("page_id", "rank", "link", F.col("priority").cast("int").alias("priority"))
 
@@ -180,7 +180,7 @@ for _ref, _char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;"
 
 @query("page_text", "T6", X.ctes("pi") + f""", n AS (SELECT page_id, url, list_filter([trim({_decode}, ' ' || chr(9) || chr(10) || chr(13)) FOR x IN {_nodes}], lambda x: x <> '') AS ns FROM pi),
 t AS (SELECT page_id, url, array_to_string(list_filter(string_split_regex(array_to_string(ns, chr(10)), '\\r\\n|\\r|\\n'), lambda x: trim(x) <> ''), chr(10)) AS body FROM n)
-SELECT page_id, '### Fetched: ' || url || chr(10) || chr(10) || substr(body, 1, 38000) AS text FROM t""")
+SELECT page_id, '### Fetched: ' || url || chr(10) || chr(10) || body AS text FROM t""")
 def _(spark, d):
     return P.page_text(X.view(spark, d, "pi")).select("page_id", "text")
 

@@ -208,14 +208,14 @@ def _(spark, d):
 
 
 LOW = """crawl AS (SELECT host, count(*) AS crawled_urls FROM rep_u WHERE report_id IN (SELECT report_id FROM newest) GROUP BY host),
-yield AS (SELECT host, count(*) AS fruitful_urls, CAST(sum(events_added) AS BIGINT) AS source_events_added FROM mem WHERE url LIKE '%/list/3' GROUP BY host),
+yield AS (SELECT host, count(*) AS fruitful_urls, CAST(sum(events_added) AS BIGINT) AS source_events_added FROM mem GROUP BY host),
 low AS (SELECT crawl.host, crawled_urls, coalesce(fruitful_urls, 0) AS fruitful_urls, coalesce(source_events_added, 0) AS source_events_added FROM crawl LEFT JOIN yield USING (host))
 """
 
 
 @query("low_yield_hosts", "J10 O8", X.ctes("rep_u", "rep", "mem") + ", " + NEWEST(25) + ", " + LOW + "SELECT * FROM low ORDER BY source_events_added, fruitful_urls, crawled_urls DESC, host LIMIT 10")
 def _(spark, d):
-    return D.low_yield_hosts(reports(spark, d), X.view(spark, d, "rep_u"), memory(spark, d).filter("url like '%/list/3'"))
+    return D.low_yield_hosts(reports(spark, d), X.view(spark, d, "rep_u"), memory(spark, d))
 
 
 @query("repeated_queries", "A19 O9", X.ctes("rep_q", "rep") + ", " + NEWEST(50) + "SELECT query, count(*) AS n FROM rep_q JOIN newest USING (report_id) GROUP BY query HAVING count(*) > 1 ORDER BY n DESC, query LIMIT 10")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +62,16 @@ class Rules:
 
 
 def load_rules(spark: SparkSession, path: str) -> Rules:
-    """Rules from a JSON document; a missing or malformed one gives no rules."""
+    """Rules from a JSON document; a missing or malformed one gives no rules. Any other trouble with reading it is raised."""
     try:
         text = "\n".join(r[0] for r in spark.read.text(path).collect())  # one small settings file
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return Rules()
+    try:
         data = json.loads(text)
-    except Exception:
+    except ValueError:
         return Rules()
     if not isinstance(data, dict):
         return Rules()

@@ -39,9 +39,7 @@ def test_host_match_reads_both_ways(spark):
     assert names(venues.match_hosts(hosts, known), "host", "venue_id") == [("example.org", "z"), ("triff.id", "t"), ("www.thetriffid.com.au:80", "t")]
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_mentions_in_whole_texts(spark, limit, monkeypatch):
-    monkeypatch.setattr(venues, "MAX_PIECE_LIST", limit)
+def test_mentions_in_whole_texts(spark):
     known = spark.createDataFrame([("t", "The Triffid", [], "", "1"), ("l", "A Very Long Name For A Hall", [], "", "2"), ("x", "Abc", [], "", "3")], VENUE)
     filler = "words and more words " * 60
     rows = spark.createDataFrame(
@@ -77,6 +75,15 @@ def page(spark, *rows):
     return spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], PAGE)
 
 
+def test_an_unlinked_venue_is_deleted(spark):
+    stays = spark.createDataFrame([("v-1", "One"), ("v-2", "Two")], "id string, name string")
+    rows = spark.createDataFrame([("e1", "One", "v-1", "")], "id string, venue string, venue_id string, image_id string")
+    blobs = spark.createDataFrame([], "id string")
+    out = venues.delete_venue(stays, rows, blobs, "v-2")
+    assert [r.id for r in out["venues"].collect()] == ["v-1"] and out["events"].count() == 1
+    assert tuple(out["counts"].head()) == (0, 0, 1)
+
+
 def test_page_text_keeps_images_in_place(spark):
     html = (
         '<html><head><title>T &amp; Co</title><script>var a = "<p>no</p>";</script></head><body><p>One <b>two</b></p><!-- gone -->'
@@ -103,98 +110,55 @@ def test_listing_link_of_a_home_page(spark):
     assert [(r.link, r.score) for r in row] == [("https://h.example/whats-on", 15)]
 
 
-def plain_assign(rows, board):
-    """Greedy hand-out of images on one page; rows are (id, words, thumb) in order."""
-    count = {}
-    for _, _, t in rows:
-        if t:
-            count[t] = count.get(t, 0) + 1
-    used = {t for t, c in count.items() if c == 1}
-    out = {}
-    for rid, words, thumb in rows:
-        out[rid] = thumb
-        if len(rows) < 2 or (thumb and count[thumb] == 1):
-            continue
-        scores = [(len(set(words) & set(w)), -i, src) for i, (src, w) in enumerate(board) if src not in used]
-        best = max(scores, default=(0, 0, None))
-        if best[0] > 0:
-            used.add(best[2])
-            out[rid] = best[2]
-        elif thumb and count[thumb] > 1 and board:
-            out[rid] = None
-    return out
-
-
-@pytest.mark.parametrize("seed", range(2))
-def test_images_are_handed_out_in_row_order(spark, seed):
-    rng = random.Random(seed)
-    vocab = ["alpha", "bravo", "carol", "delta", "echo"]
+def test_images_are_handed_out_in_row_order(spark):
     url = "https://h.example/list"
-    board = [(f"https://h.example/list/{i}-{rng.choice(vocab)}-{rng.choice(vocab)}.jpg",) for i in range(4)]
-    html = "".join(f'<img src="{s[0].rsplit("/", 1)[1]}" alt="">' for s in board)
-    words = lambda s: [w for w in s.rsplit("/", 1)[1][:-4].split("-") if len(w) >= 3]
-    rows = []
-    for i in range(40):
-        ws = [rng.choice(vocab) for _ in range(rng.randint(1, 3))]
-        rows.append((f"{i:03d}", ws, rng.choice([None, None, "https://own/1.jpg", "https://own/2.jpg", board[0][0], f"https://own/u{i}.jpg"])))
-    df = spark.createDataFrame([(r, " ".join(w) + " @ Hall", url, t, r) for r, w, t in rows] + [("solo", "alpha", "https://h.example/one", None, "z")],
+    html = '<img src="one-alpha.jpg" alt=""><img src="two-bravo.jpg" alt="">'
+    full = lambda name: f"https://h.example/list/{name}.jpg"
+    rows = [
+        ("r0", "alpha @ Hall", None), ("r1", "alpha @ Hall", None), ("r2", "bravo alpha @ Hall", None), ("r3", "bravo @ Hall", "https://own/1.jpg"),
+        ("r4", "bravo @ Hall", "https://own/2.jpg"), ("r5", "charlie @ Hall", "https://own/2.jpg"),
+    ]
+    df = spark.createDataFrame([(r, title, url, t, r) for r, title, t in rows] + [("solo", "alpha", "https://h.example/one", None, "z")],
                                "id string, title string, url string, thumbnail_url string, ord string")
     got = {r.id: r.thumbnail_url for r in images.assign_images(df, page(spark, (url, html))).collect()}
-    want = plain_assign(rows, [(s[0], words(s[0])) for s in board])
-    assert {k: v for k, v in got.items() if k != "solo"} == want and got["solo"] is None
+    assert got == {"r0": full("one-alpha"), "r1": None, "r2": full("two-bravo"), "r3": "https://own/1.jpg", "r4": None, "r5": None, "solo": None}
 
 
 # Crawl --------------------------------------------------------------------------------------
 
 
-def plain_crawl(seeds, web, per_seed, total, depth):
-    from collections import deque
-
-    state = [{"q": deque([(s, 0)]), "seen": set(), "n": 0} for s in seeds]
-    out, live = [], list(range(len(seeds)))
-    while len(out) < total and live:
-        moved = False
-        for i in live:
-            c = state[i]
-            if len(out) >= total or c["n"] >= per_seed:
-                continue
-            while c["q"] and c["q"][0][0] in c["seen"]:
-                c["q"].popleft()
-            if not c["q"]:
-                continue
-            url, d = c["q"].popleft()
-            c["seen"].add(url)
-            moved = True
-            if url not in web:
-                continue
-            out.append((i, url))
-            c["n"] += 1
-            if d < depth:
-                c["q"].extend((u, d + 1) for u in web[url] if u not in c["seen"])
-        live = [i for i in live if state[i]["q"] and state[i]["n"] < per_seed]
-        if not moved:
-            break
-    return out
-
-
-@pytest.mark.parametrize("limits", [(12, 28, 2), (3, 7, 2), (4, 9, 1)])
-def test_frontier(spark, limits):
-    rng = random.Random(limits[0])
-    sites = [f"https://s{i}.example" for i in range(3)]
-    paths = {s: [f"{s}/p{k}" for k in range(10)] for s in sites}
-    web = {u: [rng.choice(paths[s] + [f"{s}/gone{rng.randint(0, 3)}"]) for _ in range(4)] for s in sites for u in paths[s] if rng.random() < 0.8}
-    for s in sites:
-        web[f"{s}/p0"] = web.get(f"{s}/p0", paths[s][1:4])
-    df = page(spark, *[(u, "".join(f'<a href="{x}">x</a>' for x in links)) for u, links in web.items()])
-    order = {r.page_id: r.url for r in df.collect()}
-    ranked = {}
-    for r in pages.top_links(df).orderBy("page_id", "rank").collect():
-        ranked.setdefault(order[r.page_id], []).append(r.link)
+@pytest.mark.parametrize(
+    ("limits", "want"),
+    [
+        ((12, 28, 2), ["a/p0", "a/p1", "a/p2", "a/p3", "b/q0", "b/q1"]),
+        ((12, 28, 1), ["a/p0", "a/p1", "a/p2", "b/q0", "b/q1"]),
+        ((2, 28, 2), ["a/p0", "a/p1", "b/q0", "b/q1"]),
+        ((12, 3, 2), ["a/p0", "a/p1", "b/q0"]),
+    ],
+)
+def test_frontier(spark, limits, want):
+    site = lambda u: f"https://{u[0]}.example{u[1:]}"
+    web = {"a/p0": ["a/p1", "a/p2", "a/no"], "a/p1": ["a/p0", "a/p3"], "a/p2": ["a/p1"], "a/p3": ["a/p4"], "a/p4": [], "b/q0": ["b/q1", "a/p4"], "b/q1": []}
+    df = page(spark, *[(site(u), "".join(f'<a href="{site(x)}">x</a>' for x in links)) for u, links in web.items()])
+    seeds = spark.createDataFrame([(0, site("a/p0")), (1, site("b/q0"))], "seed int, link string")
     per_seed, total, depth = limits
-    seeds = [f"{s}/p0" for s in sites] + ["https://s0.example/p1"]
-    want = plain_crawl(seeds, {u: ranked.get(u, []) for u in web}, per_seed, total, depth)
-    got = crawl.frontier(spark.createDataFrame(list(enumerate(seeds)), "seed int, link string"), df, depth, per_seed, total)
-    assert sorted((r.seed, r.url) for r in got.collect()) == sorted(want)
+    got = crawl.frontier(seeds, df, depth, per_seed, total)
+    assert sorted(r.url for r in got.collect()) == [site(u) for u in want]
+
+
+def test_whole_pages_are_read(spark):
+    filler = "<p>words of a long page</p>" * 40_000
+    html = "".join(f'<a href="/e/{i:04d}">x</a>' for i in range(400)) + filler + '<a href="/last">x</a><img src="/late-poster.jpg" alt="late poster">'
+    df = page(spark, ("https://h.example/", html))
+    assert pages.link_edges(df).count() == pages.top_links(df).count() == 401
+    assert [r.src for r in pages.page_images(df).collect()] == ["https://h.example/late-poster.jpg"]
+    assert pages.page_text(df).head().text.endswith("late-poster.jpg]")
+
+
+def test_preview_image_in_either_order(spark):
+    rows = [("https://h.example/1", '<meta content="/a.jpg" property="og:image">'), ("https://h.example/2", "<META property='og:image' content=' /b.jpg '/>"),
+            ("https://h.example/3", '<meta property="og:image:width" content="7">')]
+    assert sorted(r.og for r in pages.og_image(page(spark, *rows)).collect()) == ["https://h.example/a.jpg", "https://h.example/b.jpg"]
 
 
 def test_discovery_tries_each_venue_once(spark):
