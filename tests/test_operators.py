@@ -267,6 +267,48 @@ def test_tables_are_replaced_as_a_whole(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+def test_a_broken_replacement_is_undone(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.replace_table(spark.range(5), path)
+    (tmp_path / "t").rename(tmp_path / "t.old-1")  # a run that died between its two renames
+    (tmp_path / "t.new-1").mkdir()
+    sinks.recover(spark, path)
+    assert spark.read.parquet(path).count() == 5
+    (tmp_path / "t").rename(tmp_path / "t.old-1")
+    sinks.replace_table(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 2 and not [p for p in tmp_path.iterdir() if ".old-" in p.name]
+    with pytest.raises(Exception):
+        sinks._swap(spark, f"{path}.missing", path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_a_replayed_batch_changes_nothing_but_what_follows_runs(spark, tmp_path):
+    from playbill import schemas
+    from playbill.streaming import jobs
+
+    rows = [("n1", "Band", "Hall", "", "Town", dt.date(2026, 1, 10), "https://a.example/1", [], "", "", "", [], "n1")]
+    spark.createDataFrame(rows, schemas.EVENTS).write.parquet(f"{tmp_path}/in")
+    start = spark.createDataFrame([("v-1", "Hall", [], "", "1", "https://hall.example")], VENUE + ", website string")
+    calls = []
+
+    def once(checkpoint, fail):
+        def after(events, venues):
+            calls.append((events.count(), venues.columns))
+            if fail:
+                raise ValueError("stop here")
+
+        src = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        return jobs.merge_stream(src, lambda b: b, f"{tmp_path}/store", start, "2026-01-10", f"{tmp_path}/{checkpoint}", after)
+
+    with pytest.raises(Exception):
+        once("c", True)
+    once("c", False)
+    once("d", False)  # the same batch from a new checkpoint: its marks are there
+    assert len(calls) == 2 and calls[1][0] == 1 and "website" in calls[1][1]
+    assert spark.read.parquet(f"{tmp_path}/store/events").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/store/venues").head().website == "https://hall.example"
+
+
 def test_coverage_puts_unknown_dates_first(spark):
     rows = spark.createDataFrame(
         [("a", "A", "2026-03-01", None), ("b", "B", None, "2"), ("c", "C", "x", "1")], "id string, name string, last_event_date string, last_mined string"
