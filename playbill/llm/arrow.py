@@ -5,13 +5,11 @@ from __future__ import annotations
 import hashlib
 import sys
 import types
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-
 #: texts are handled in slices of about this many bytes, so what a task holds does not grow with a batch
 SLICE = 1 << 20
 
@@ -40,16 +38,11 @@ def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
-    """Apply ``each`` to every batch; it returns columns by name in the order of ``schema``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for columns in each(batch):
-                    yield pa.RecordBatch.from_pydict(columns)
-
-    return df.mapInArrow(run, schema)
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of so many rows, so that only a part is held as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def worker_cache() -> dict:

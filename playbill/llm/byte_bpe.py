@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.arrow import hex_digest, worker_cache
+from playbill.llm.arrow import hex_digest, parts, worker_cache
 
 #: a vocabulary file travels to the workers as a broadcast; larger ones are refused
 MAX_FILE = 64 << 20
 #: remembered pieces and pairs of a worker; when they are full, the pieces used since the last time stay
-MAX_PIECES, MAX_PAIRS = 3 << 17, 1 << 19
+MAX_PIECES, MAX_PAIRS = 1 << 17, 1 << 18
 
 # Characters that are letters or numbers in the Unicode version of the ``regex`` library only. The tokenizer library
 # knows an older version, where they are neither.
@@ -179,9 +179,6 @@ class BytePairs:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 class _Pieces(dict):
     """Encoded pieces. Those of the generation before are taken over when they are used again."""
@@ -225,26 +222,24 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _load(shipped.value, pattern)
-        for batch in batches:
-            texts = [b"" if t is None else t for t in batch.column(1).to_pylist()]
-            ids = [pairs.encode_bytes(t.decode("utf-8", "replace")) for t in texts]
+        for part in parts(batches):
+            ids = [pairs.encode_bytes((t or b"").decode("utf-8", "replace")) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
-                ["doc_id", "ids", "n_tokens"],
+                [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"]
             )
 
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
     return plain.mapInArrow(run, "doc_id long, ids binary, n_tokens long")
 
 
-def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
     """Bytes of every id sequence: ``doc_id``, ``ids``, ``n_tokens`` and ``decoded`` (binary). Null ids are empty."""
     shipped = _shipped(tokens, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _load(shipped.value, pattern)
-        for batch in batches:
-            found = [pairs.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+        token = read_ranks(shipped.value).__getitem__
+        for part in parts(batches):
+            found = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     return tokens.select("doc_id", "ids", "n_tokens").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary")

@@ -165,7 +165,7 @@ def test_empty_tables(spark, nothing):
     assert licenses.scan(nothing).count() == 0
     assert fingerprints.near_neighbours(nothing).count() == 0
     assert sharding.assign(nothing, 4).count() == 0
-    assert byte_bpe.decode(byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
+    assert byte_bpe.decode(byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
     assert chat_format.read_back(chat_format.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.report(nothing, items).count() == 0
@@ -432,7 +432,7 @@ def test_byte_pairs_match_the_library(spark):
              *[(i, "".join(draw.choice("abcdest hinot'") for _ in range(60))) for i in range(500, 900)], (901, " " * 5000 + "<|endoftext|>")]
     own = reference_encoding()
     ids = byte_bpe.encode(make(spark, texts), RANKS, public_tokenizers.PATTERN)
-    rows = byte_bpe.decode(ids, RANKS, public_tokenizers.PATTERN).collect()
+    rows = byte_bpe.decode(ids, RANKS).collect()
     found = sorted((str(r["doc_id"]), bytes(r["ids"]), r["n_tokens"], bytes(r["decoded"])) for r in rows)
     want = []
     for i, t in texts:
