@@ -108,22 +108,18 @@ def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> D
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                forms = {f for text in batch.column(0).to_pylist() for f in map(normal_line, (text or "").split("\n")) if f}
-                for group in _groups([(f, hashlib.md5(f).digest()) for f in sorted(forms)]):
-                    spots = np.array([xxhash.xxh64_intdigest(d, 42) for _, d in group], np.uint64).view(np.int64)
-                    group = [g for g, keep in zip(group, may_be_wanted(bits.value, spots).tolist()) if keep]
-                    if not group:
-                        continue
-                    hashes, counts = line_hashes([g[0] for g in group], shingle)
-                    ends = np.cumsum(counts)
-                    sets = [np.unique(hashes[e - n : e]).tobytes() for e, n in zip(ends.tolist(), counts.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array([g[1] for g in group], pa.binary()), pa.array(sets, pa.binary())], ["digest", "members"])
+                forms = list({f for text in batch.column(0).to_pylist() for f in map(normal_line, (text or "").split("\n")) if f})
+                digests = [hashlib.md5(f).digest() for f in forms]
+                spots = np.array([xxhash.xxh64_intdigest(d, 42) for d in digests], np.uint64).view(np.int64)
+                at = np.flatnonzero(may_be_wanted(bits.value, spots)).tolist()
+                arrays = [pa.array([digests[i] for i in at], pa.binary()), pa.array([forms[i] for i in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["digest", "members"])
 
         found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, members binary")
         found = found.groupBy("digest").agg(F.first("members").alias("members"))
         return found.join(wanted, "digest").select("id", "members")
 
-    links = near_links(classes.select("id", F.lit(1).cast("long").alias("n"), "sig"), SKETCH, sets_of, share)
+    links = near_links(classes.select("id", F.lit(1).cast("long").alias("n"), "sig"), SKETCH, sets_of, share, lambda lines: line_hashes(lines, shingle))
     labels = cut_lineage(connected_components(links, "a", "b").select(F.col("node").alias("id"), "label"))
     roots = classes.join(labels, "id").groupBy("label").agg(F.min("place").alias("root"))
     linked = labels.join(roots, "label").select("id", "root")

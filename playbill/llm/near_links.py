@@ -30,9 +30,11 @@ BLOCK = 512
 FILTER_BITS = 1 << 25
 
 
-#: symbols of one byte in the long signature, and the most in which linked items may differ: at a similarity of 0.8, 51 do on average,
-#: and more than 79 once in a hundred thousand times
-LONG, LONG_ERRORS = 256, 79
+#: symbols of one byte in the long signature, and the most in which linked items may differ: at a similarity of 0.8, 153 do on average,
+#: and more than 201 once in a hundred thousand times
+LONG, LONG_ERRORS = 768, 201
+#: rows that are compared with a block at once
+ROWS = 128
 
 
 def minima(hashes: np.ndarray, counts: np.ndarray, symbols: int, seed: int) -> np.ndarray:
@@ -89,40 +91,53 @@ def bucket_keys(items: DataFrame, sketch: Sketch) -> DataFrame:
     return items.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
-def near_links(items: DataFrame, sketch: Sketch, sets_of: Callable[[DataFrame], DataFrame], share: int = 80) -> DataFrame:
+def stored_hashes(members: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of stored sets, one set after the other, and their numbers."""
+    return np.frombuffer(b"".join(members), np.uint64), np.array([len(m) // 8 for m in members], np.int64)
+
+
+def near_links(
+    items: DataFrame, sketch: Sketch, sets_of: Callable[[DataFrame], DataFrame], share: int = 80,
+    hashes_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] = stored_hashes,
+) -> DataFrame:
     """Links ``a``, ``b`` that connect all items whose similarity is ``share`` percent or more, where their signatures show it.
 
     ``items`` has ``id``, ``n`` (set size) and ``sig`` and is stored, so it can be read again. ``sets_of`` takes a table of ids and gives
-    ``id`` and ``members`` (sorted distinct 64-bit hashes). Not every link inside a component is listed, but the components are
-    those of all links.
+    ``id`` and ``members``, which ``hashes_of`` turns into 64-bit hashes. Not every link inside a component is listed, but the components
+    are those of all links.
     """
     of_key = Window.partitionBy("key")
     met = bucket_keys(items, sketch).withColumns({"members": F.count("*").over(of_key), "leader": F.min("id").over(of_key)})
     live = cut_lineage(met.filter("members > 1"))
     sets = cut_lineage(sets_of(live.select("id").distinct()))
-    wanted = cut_lineage(_long_signatures(sets).join(items.select("id", "n", "sig"), "id"))
     pairs = live.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    one, other = (wanted.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig", "long")]) for x in "ab")
+    met_items = items.select("id", "n", "sig").join(live.select("id").distinct(), "id", "left_semi")
+    one, other = (met_items.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig")]) for x in "ab")
     tested = cut_lineage(_close_pairs(pairs.join(one, F.col("a") == F.col("id_a")).join(other, F.col("b") == F.col("id_b")), sketch, share))
-    links = cut_lineage(linked_pairs(tested, sets, share))
+    links = cut_lineage(linked_pairs(tested, sets, share, hashes_of))
+    wanted = None
     for nearest in (True, False):
-        blocks = _open_blocks(live.select("key", "id"), connected_components(links, "a", "b"))
-        cross = cut_lineage(_cross_pairs(blocks.join(wanted, "id"), sketch, share, nearest).join(tested, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.union(linked_pairs(cross, sets, share)))
+        blocks = cut_lineage(_open_blocks(live.select("key", "id"), connected_components(links, "a", "b")))
+        if wanted is None:  # what is open later is open now
+            some = sets.join(blocks.select("id").distinct(), "id", "left_semi")
+            wanted = cut_lineage(_long_signatures(some, hashes_of).join(items.select("id", "n", "sig"), "id"))
+        found = _cross_pairs(blocks.join(wanted, "id"), sketch, share, nearest)
+        cross = cut_lineage(found.join(tested, ["a", "b"], "left_anti"))
+        links = cut_lineage(links.union(linked_pairs(cross, sets, share, hashes_of)))
         tested = tested.union(cross)
     return links
 
 
-def _long_signatures(sets: DataFrame) -> DataFrame:
+def _long_signatures(sets: DataFrame, hashes_of: Callable) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                members = part.column(1).to_pylist()
-                found = minima(np.frombuffer(b"".join(members), np.uint64), np.array([len(m) // 8 for m in members]), LONG, 21).astype(np.uint8)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = minima(*hashes_of(part.column(1).to_pylist()), LONG, 21).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in found], pa.binary())], ["id", "long"])
 
-    return sets.select("id", "members").mapInArrow(run, "id long, long binary")
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.select("id", "members").repartition(tasks, "id").mapInArrow(run, "id long, long binary")
 
 
 def _open_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,17 +168,16 @@ def _close_pairs(pairs: DataFrame, sketch: Sketch, share: int) -> DataFrame:
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             n, m = columns["n_a"].to_numpy(), columns["n_b"].to_numpy()
             keep = (sketch.read(columns["sig_a"]) != sketch.read(columns["sig_b"])).sum(1) <= sketch.most_errors
-            keep &= (_long(columns["long_a"]) != _long(columns["long_b"])).sum(1) <= LONG_ERRORS
             keep &= 100 * np.minimum(n, m) >= share * np.maximum(n, m)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "n_a", "long_a", "sig_b", "n_b", "long_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sig_a", "n_a", "sig_b", "n_b").mapInArrow(run, "a long, b long")
 
 
 def _cross_pairs(rows: DataFrame, sketch: Sketch, share: int, nearest: bool) -> DataFrame:
     """Close pairs of different components from block pairs. A pair is given by the first bucket that both are in.
 
-    ``nearest``: for each member, only the closest one of a bucket.
+    ``nearest``: for each member, only the closest one of a bucket, and that only if the signatures speak for a link.
     """
 
     def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -174,19 +188,25 @@ def _cross_pairs(rows: DataFrame, sketch: Sketch, share: int, nearest: bool) ->
         slot = int(np.flatnonzero(sketch.keys(sig[:1])[0] == table.column("key")[0].as_py())[0])
         left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left_side", "right_side"))
         found = []
-        for at in range(0, len(left), 32):
-            some = left[at : at + 32]
+        columns = np.ascontiguousarray(sig[right].T)
+        for at in range(0, len(left), ROWS):
+            some = left[at : at + ROWS]
             fits = labels[some][:, None] != labels[right][None, :]
             fits &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= share * np.maximum(n[some][:, None], n[right][None, :])
-            i, j = np.nonzero(fits)
+            if not fits.any():
+                continue
+            errors = np.zeros(fits.shape, np.uint8)
+            for s, column in enumerate(columns):
+                errors += sig[some, s][:, None] != column[None, :]
+            i, j = np.nonzero(fits & (errors <= sketch.most_errors))
             i, j = some[i], right[j]
-            differs = sig[i] != sig[j]
-            near = differs.sum(1) <= sketch.most_errors
+            new = np.ones(len(i), bool)
             for s in range(slot):  # met before in an earlier slot
-                near &= differs[:, list(sketch.slots[s])].any(1)
-            i, j = i[near], j[near]
-            apart = (long[i] != long[j]).sum(1)
-            i, j, apart = i[apart <= LONG_ERRORS], j[apart <= LONG_ERRORS], apart[apart <= LONG_ERRORS]
+                new &= (sig[i][:, list(sketch.slots[s])] != sig[j][:, list(sketch.slots[s])]).any(1)
+            i, j = i[new], j[new]
+            apart = np.concatenate([(long[i[k : k + 4096]] != long[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [i])
+            near = apart <= (LONG * (100 - share) // 100 if nearest else LONG_ERRORS)
+            i, j, apart = i[near], j[near], apart[near]
             if nearest and len(i):
                 order = np.lexsort((ids[j], apart, i))
                 first = order[np.concatenate([[True], np.diff(i[order]) != 0])]
@@ -206,17 +226,24 @@ def _cross_pairs(rows: DataFrame, sketch: Sketch, share: int, nearest: bool) ->
     return ordered.sortWithinPartitions("key", "one", "other").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, share: int = 80) -> DataFrame:
-    """The pairs of sets (``id``, ``members``: sorted 64-bit hashes) with 100 * intersection >= share * union."""
+def linked_pairs(pairs: DataFrame, sets: DataFrame, share: int, hashes_of: Callable) -> DataFrame:
+    """The pairs of sets (``id``, ``members``) with 100 * intersection >= share * union."""
+
+    def distinct(members: list[bytes]) -> Iterator[np.ndarray]:
+        hashes, counts = hashes_of(members)
+        end = 0
+        for n in counts.tolist():
+            yield np.unique(hashes[end : end + n])
+            end += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(100 * both >= share * (len(one) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+            for at in range(0, batch.num_rows, 64):
+                part, keep = batch.slice(at, 64), []
+                for one, other in zip(distinct(part.column(2).to_pylist()), distinct(part.column(3).to_pylist())):
+                    both = len(np.intersect1d(one, other, assume_unique=True))
+                    keep.append(100 * both >= share * (len(one) + len(other) - both))
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
     one, other = (sets.select(F.col("id").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab")
     return pairs.join(one, "a").join(other, "b").select("a", "b", "members_a", "members_b").mapInArrow(run, "a long, b long")
