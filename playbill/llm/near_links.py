@@ -33,8 +33,8 @@ FILTER_BITS = 1 << 25
 #: symbols of one byte in the long signature, and the most in which linked items may differ: at a similarity of 0.8, 153 do on average,
 #: and more than 201 once in a hundred thousand times
 LONG, LONG_ERRORS = 768, 201
-#: rows that are compared with a block at once
-ROWS = 128
+#: rows that are compared with a block at once; buckets up to SMALL members are compared many at a time, HELD rows together
+ROWS, SMALL, HELD = 128, 32, 8192
 
 
 def minima(hashes: np.ndarray, counts: np.ndarray, symbols: int, seed: int) -> np.ndarray:
@@ -180,43 +180,85 @@ def _cross_pairs(rows: DataFrame, sketch: Sketch, share: int, nearest: bool) ->
     ``nearest``: for each member, only the closest one of a bucket, and that only if the signatures speak for a link.
     """
 
-    def compare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, labels, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+    def chosen(ids: np.ndarray, sig: np.ndarray, long: np.ndarray, i: np.ndarray, j: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of close pairs by the short signature, those that are new in this slot and close by the long one."""
+        new = np.ones(len(i), bool)
+        for s, members in enumerate(sketch.slots):  # met before in an earlier slot
+            late = np.flatnonzero(new & (slot > s))
+            if len(late):
+                new[late] = (sig[i[late]][:, list(members)] != sig[j[late]][:, list(members)]).any(1)
+        i, j = i[new], j[new]
+        apart = np.concatenate([(long[i[k : k + 4096]] != long[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [i])
+        near = apart <= (LONG * (100 - share) // 100 if nearest else LONG_ERRORS)
+        i, j, apart = i[near], j[near], apart[near]
+        if nearest and len(i):
+            order = np.lexsort((ids[j], apart, i))
+            first = order[np.concatenate([[True], np.diff(i[order]) != 0])]
+            i, j = i[first], j[first]
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    def read(table: pa.Table) -> list[np.ndarray]:
+        return [table.column(c).to_numpy() for c in ("id", "label", "n", "left_side", "right_side")] + [sketch.read(table.column("sig"))]
+
+    def slots_of(table: pa.Table, sig: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """The slot of each bucket: the one whose key of the first member is the bucket's."""
+        return (sketch.keys(sig[firsts]) == table.column("key").to_numpy()[firsts][:, None]).argmax(1)
+
+    def one_bucket(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, labels, n, left, right, sig = read(table)
         if labels.min() == labels.max():
-            return ids[:0], ids[:0]
-        sig, long = sketch.read(table.column("sig")), _long(table.column("long"))
-        slot = int(np.flatnonzero(sketch.keys(sig[:1])[0] == table.column("key")[0].as_py())[0])
-        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left_side", "right_side"))
-        found = []
+            return
+        long, slot = _long(table.column("long")), slots_of(table, sig, np.zeros(1, np.int64))[0]
+        left, right = np.flatnonzero(left), np.flatnonzero(right)
         columns = np.ascontiguousarray(sig[right].T)
         for at in range(0, len(left), ROWS):
             some = left[at : at + ROWS]
             fits = labels[some][:, None] != labels[right][None, :]
             fits &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= share * np.maximum(n[some][:, None], n[right][None, :])
-            if not fits.any():
+            if fits.any():
+                errors = np.zeros(fits.shape, np.uint8)
+                for s, column in enumerate(columns):
+                    errors += sig[some, s][:, None] != column[None, :]
+                i, j = np.nonzero(fits & (errors <= sketch.most_errors))
+                yield chosen(ids, sig, long, some[i], right[j], np.full(len(i), slot))
+
+    def small_buckets(tables: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+        """Many small buckets at once: every row with the one ``d`` rows further on, for all ``d``."""
+        table, sizes = pa.concat_tables(tables), np.array([t.num_rows for t in tables])
+        ids, labels, n, left, right, sig = read(table)
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        slot = slots_of(table, sig, np.cumsum(sizes) - sizes)
+        found = []
+        for d in range(1, int(sizes.max())):
+            i = np.flatnonzero(bucket[:-d] == bucket[d:])
+            j = i + d
+            fits = (labels[i] != labels[j]) & ((left[i] & right[j]) | (left[j] & right[i]))
+            fits &= 100 * np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            close = (sig[i] != sig[j]).sum(1) <= sketch.most_errors
+            found.append((i[close], j[close]))
+        i, j = (np.concatenate(f) for f in zip(*found)) if found else (bucket[:0], bucket[:0])
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+        a, b = chosen(ids, sig, _long(table.column("long")), i, j, slot[bucket[i]])
+        both = np.unique(np.stack([a, b]), axis=1)
+        return both[0], both[1]
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, rows = [], 0
+        for table in runs(batches, ["key", "one", "other"]):
+            if table.num_rows > SMALL:
+                yield from one_bucket(table)
                 continue
-            errors = np.zeros(fits.shape, np.uint8)
-            for s, column in enumerate(columns):
-                errors += sig[some, s][:, None] != column[None, :]
-            i, j = np.nonzero(fits & (errors <= sketch.most_errors))
-            i, j = some[i], right[j]
-            new = np.ones(len(i), bool)
-            for s in range(slot):  # met before in an earlier slot
-                new &= (sig[i][:, list(sketch.slots[s])] != sig[j][:, list(sketch.slots[s])]).any(1)
-            i, j = i[new], j[new]
-            apart = np.concatenate([(long[i[k : k + 4096]] != long[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [i])
-            near = apart <= (LONG * (100 - share) // 100 if nearest else LONG_ERRORS)
-            i, j, apart = i[near], j[near], apart[near]
-            if nearest and len(i):
-                order = np.lexsort((ids[j], apart, i))
-                first = order[np.concatenate([[True], np.diff(i[order]) != 0])]
-                i, j = i[first], j[first]
-            found.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
-        return tuple(np.concatenate(f) for f in zip(*found)) if found else (ids[:0], ids[:0])
+            held.append(table)
+            rows += table.num_rows
+            if rows >= HELD:
+                yield small_buckets(held)
+                held, rows = [], 0
+        if held:
+            yield small_buckets(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, ["key", "one", "other"]):
-            a, b = compare(table)
+        for a, b in pairs_of(batches):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 

@@ -133,8 +133,10 @@ def test_near_duplicates_match_brute_force(spark, docs, width):
     assert collected(minhash_dedup.near_duplicates(docs, width)) == plain_near(awkward(), width)
 
 
-def test_near_copies_in_one_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("small", [32, 4])
+def test_near_copies_in_one_bucket(spark, monkeypatch, small):
     monkeypatch.setattr(near_links, "BLOCK", 16)
+    monkeypatch.setattr(near_links, "SMALL", small)
     texts = near_copies(150)
     assert collected(minhash_dedup.near_duplicates(make(spark, texts), 4)) == plain_near(texts, 4)
 
