@@ -67,6 +67,8 @@ ANCHORS = ("licen", "permission", "copyright", "warrant", "redistribut", "softwa
 BREAK = r"([.!?])[\x20\x09-\x0D]+"
 #: where a sentence of wrapped lines ends besides: a blank line, and a colon at the end of a line
 WRAP_BREAK = r"(:|\n)[\x20\x09\x0D]*\n"
+#: stands between the sentences of wrapped lines
+END = "\x01"
 #: a version; a number in a word is none
 VERSION = r"(^| )v?([0-9]+( [0-9]+)*)( |$)"
 
@@ -89,30 +91,41 @@ def _check_tables() -> None:
 _check_tables()
 
 
-def sentences(text: Column, wrapped: bool) -> Column:
-    """Normal forms of the sentences of a text that have an anchor: lower-case letters and digits, words parted by one space."""
-    lines = F.translate(F.regexp_replace(text, WRAP_BREAK, ". "), "\n", " ") if wrapped else text
-    cut = F.split(F.regexp_replace(lines, BREAK, "$1\n"), "\n")
-    normal = lambda s: F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^0-9a-z]+", " "))
-    return F.filter(F.transform(cut, normal), lambda s: s.rlike("|".join(ANCHORS)))
+def lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def anchored(text: Column) -> Column:
+    return text.rlike("|".join(ANCHORS))
+
+
+def passages(text: Column) -> Column:
+    """Sentences of a lower-case text with its lines joined; those without an anchor are left out, line breaks inside stay."""
+    cut = F.regexp_replace(F.regexp_replace(F.translate(text, END, ","), WRAP_BREAK, END), BREAK, f"$1{END}")
+    return F.filter(F.split(cut, END), anchored)
 
 
 def identifiers(text: Column) -> Column:
     """Known sentences of a text in order, as ``identifier@version``; the version is empty where there is none.
 
-    Line breaks end sentences. If more sentences are known with the lines joined, the text is wrapped and these count.
+    A text may mix wrapped sentences and sentences that end with their line. Every break of the wrapped reading is one of the other reading
+    too, so a sentence of the former is a run of whole lines: it counts if it is known, and else those of its lines do that are.
     """
     known = F.create_map(*[F.lit(x) for key, value in SENTENCES.items() for x in (plain_words(value), key)])
 
     def name(sentence: Column) -> Column:
-        key = F.regexp_replace(sentence, VERSION, "$1#$4")
-        version = F.translate(F.regexp_extract(sentence, VERSION, 2), " ", ".")
+        words = F.trim(F.regexp_replace(sentence, "[^0-9a-z]+", " "))
+        key = F.regexp_replace(words, VERSION, "$1#$4")
+        version = F.translate(F.regexp_extract(words, VERSION, 2), " ", ".")
         return F.concat(F.try_element_at(known, key), F.lit("@"), version)
 
-    one, other = (F.filter(F.transform(sentences(text, wrapped), name), lambda s: s.isNotNull()) for wrapped in (False, True))
-    found = F.transform(F.array(F.struct(one.alias("a"), other.alias("b"))), lambda s: F.when(F.size(s["b"]) > F.size(s["a"]), s["b"]).otherwise(s["a"]))[0]
-    anchored = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").rlike("|".join(ANCHORS))
-    return F.when(anchored, found).otherwise(F.array().cast("array<string>"))
+    def by_line(passage: Column) -> Column:
+        return F.filter(F.transform(F.filter(F.split(passage, "\n"), anchored), name), lambda s: s.isNotNull())
+
+    text = lower(text)
+    read = F.transform(passages(text), lambda s: F.struct(s.alias("passage"), name(s).alias("id")))
+    found = F.flatten(F.transform(read, lambda s: F.when(s["id"].isNotNull(), F.array(s["id"])).otherwise(by_line(s["passage"]))))
+    return F.when(anchored(text), found).otherwise(F.array().cast("array<string>"))
 
 
 def rule_pattern() -> str:

@@ -392,6 +392,19 @@ def test_licences(spark):
                      6: ("", None), 7: ("", None), 8: ("", None), None: ("MIT", "MIT"), 9: ("CC-BY-NC-4.0", "CC-BY-NC-4.0")}
 
 
+def test_licences_of_mixed_layouts(spark):
+    apache = "\n".join(licenses.SENTENCES[k].replace("#", "2.0") for k in ("apache_header", "apache_limits")).replace(" the ", " the\n")
+    notices = [f"Licensed under CC BY {v}\nby the authors of it\n\n" for v in ("4.0", "3.0", "2.0")]
+    texts = [(1, notices[0] + apache), (2, "".join(notices) + apache), (3, apache + "\n\n" + notices[1]), (4, apache.replace("2.0 ", "2.0\n"))]
+    found = {r["doc_id"]: (r["sentence_ids"], r["licenses"], r["license"]) for r in licenses.scan(make(spark, texts)).collect()}
+    both = "apache_header@2.0,apache_limits@"
+    assert found == {
+        1: (f"cc_by_line@4.0,{both}", "CC-BY-4.0,Apache-2.0", "several"),
+        2: (f"cc_by_line@4.0,cc_by_line@3.0,cc_by_line@2.0,{both}", "CC-BY-4.0,CC-BY-3.0,CC-BY-2.0,Apache-2.0", "several"),
+        3: (f"{both},cc_by_line@3.0", "Apache-2.0,CC-BY-3.0", "several"), 4: (both, "Apache-2.0", "Apache-2.0"),
+    }
+
+
 # 7: shards
 
 
