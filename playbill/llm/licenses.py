@@ -34,7 +34,53 @@ SENTENCES = {
     "bsd_source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd_names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd_as_is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd_line": "Licensed under the BSD #-Clause License",
+    "bsd_title": "BSD #-Clause License",
+    "bsd_title2": "The BSD #-Clause License",
+    "mit_name": "MIT License",
+    "mit_name2": "The MIT License (MIT)",
     "mpl_line": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
+    "mpl_line2": "Licensed under the Mozilla Public License, Version #",
+    "mpl_line3": "Licensed under the Mozilla Public License #",
+    "apache_line2": "Licensed under the Apache License #",
+    "apache_title": "Apache License, Version #",
+    "apache_title2": "Apache License #",
+    "apache_whole": "Apache License Version #, January # http://www.apache.org/licenses/",
+    "lesser_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version # of the License, or (at your option) any later version.",
+    "lesser_free2": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version # of the License, or (at your option) any later version.",
+    "lesser_warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lesser_line": "This work is licensed under the GNU Lesser General Public License, version #",
+    "lesser_line2": "Licensed under the GNU Lesser General Public License, version #",
+    "affero_free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version # of the License, or (at your option) any later version.",
+    "affero_line": "This work is licensed under the GNU Affero General Public License, version #",
+    "affero_line2": "Licensed under the GNU Affero General Public License, version #",
+    "isc_title": "ISC License",
+    "isc_title2": "The ISC License",
+    "isc_line": "Licensed under the ISC License",
+    "isc_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc_grant2": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zero_grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "unlicense_free": "This is free and unencumbered software released into the public domain.",
+    "unlicense_line": "Licensed under the Unlicense",
+    "cc0_title": "CC0 # Universal",
+    "cc0_line": "Licensed under CC0 #",
+    "cc0_line2": "Licensed under CC0 # Universal",
+    "epl_2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License # which is available at https://www.eclipse.org/legal/epl-#/",
+    "epl_v": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v.",
+    "epl_1": "This program and the accompanying materials are made available under the terms of the Eclipse Public License # which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-#.html",
+    "epl_line": "Licensed under the Eclipse Public License, Version #",
+    "epl_line2": "Licensed under the Eclipse Public License #",
+    "zlib_as_is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib_grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib_title": "zlib License",
+    "zlib_title2": "The zlib License",
+    "zlib_line": "Licensed under the zlib License",
+    "boost_title": "Boost Software License - Version # - August 17th, #",
+    "boost_line": "Distributed under the Boost Software License, Version #",
+    "boost_line2": "Licensed under the Boost Software License, Version #",
+    "boost_grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "cc_by_nc_nd_line": "Licensed under CC BY-NC-ND #",
 }
 # Ordered rules, each a sequence of sentence identifiers with the licence it stands for; "#" is the version of the first
 # sentence that has one. The first rule that matches at a place wins.
@@ -59,9 +105,88 @@ RULES = (
     ("mit_line", "MIT"),
     ("mit_line2", "MIT"),
     ("mit_title", "MIT"),
+    ("mit_name", "MIT"),
+    ("mit_name2", "MIT"),
+    ("bsd_line", "BSD-#-Clause"),
+    ("bsd_title", "BSD-#-Clause"),
+    ("bsd_title2", "BSD-#-Clause"),
+    ("mpl_line2", "MPL-#"),
+    ("mpl_line3", "MPL-#"),
+    ("apache_line2", "Apache-#"),
+    ("apache_title", "Apache-#"),
+    ("apache_title2", "Apache-#"),
+    ("apache_whole", "Apache-#"),
+    ("lesser_free gpl_warranty", "LGPL-#-or-later"),
+    ("lesser_free", "LGPL-#-or-later"),
+    ("lesser_free2 lesser_warranty", "LGPL-#-or-later"),
+    ("lesser_free2", "LGPL-#-or-later"),
+    ("lesser_line", "LGPL-#"),
+    ("lesser_line2", "LGPL-#"),
+    ("affero_free gpl_warranty", "AGPL-#-or-later"),
+    ("affero_free", "AGPL-#-or-later"),
+    ("affero_line", "AGPL-#"),
+    ("affero_line2", "AGPL-#"),
+    ("isc_title isc_grant", "ISC"),
+    ("isc_title isc_grant2", "ISC"),
+    ("isc_grant", "ISC"),
+    ("isc_grant2", "ISC"),
+    ("isc_title", "ISC"),
+    ("isc_title2", "ISC"),
+    ("isc_line", "ISC"),
+    ("zero_grant", "0BSD"),
+    ("unlicense_free", "Unlicense"),
+    ("unlicense_line", "Unlicense"),
+    ("cc0_title", "CC0-#"),
+    ("cc0_line", "CC0-#"),
+    ("cc0_line2", "CC0-#"),
+    ("epl_2", "EPL-#"),
+    ("epl_v", "EPL-2.0"),
+    ("epl_1", "EPL-#"),
+    ("epl_line", "EPL-#"),
+    ("epl_line2", "EPL-#"),
+    ("zlib_title zlib_as_is zlib_grant", "Zlib"),
+    ("zlib_as_is zlib_grant", "Zlib"),
+    ("zlib_grant", "Zlib"),
+    ("zlib_title", "Zlib"),
+    ("zlib_title2", "Zlib"),
+    ("zlib_line", "Zlib"),
+    ("boost_title boost_grant", "BSL-#"),
+    ("boost_title", "BSL-#"),
+    ("boost_line", "BSL-#"),
+    ("boost_line2", "BSL-#"),
+    ("boost_grant", "BSL-1.0"),
+    ("cc_by_nc_nd_line", "CC-BY-NC-ND-#"),
 )
+# Titles before a whole text, which is one licence together with it.
+RULES = (
+    ("mit_name mit_grant mit_notice mit_as_is", "MIT"),
+    ("mit_name2 mit_grant mit_notice mit_as_is", "MIT"),
+    *[(f"{title} bsd_grant bsd_source bsd_binary{names}", f"BSD-{n}-Clause") for names, n in ((" bsd_names", 3), ("", 2)) for title in ("bsd_title", "bsd_title2")],
+    ("isc_title2 isc_grant", "ISC"),
+    ("isc_title2 isc_grant2", "ISC"),
+    ("zlib_title2 zlib_as_is zlib_grant", "Zlib"),
+    *RULES,
+)
+# The notices of Creative Commons, and SPDX identifiers, each as a sentence with its rule.
+CREATIVE = {
+    "": "", "-SA": "-ShareAlike", "-NC": "-NonCommercial", "-NC-SA": "-NonCommercial-ShareAlike", "-ND": "-NoDerivatives",
+    "-NC-ND": "-NonCommercial-NoDerivatives",
+}
+SPDX = (
+    "MIT", "MIT-#", "Apache-#", "BSD-#-Clause", "0BSD", "ISC", "Zlib", "BSL-#", "EPL-#", "MPL-#", "Unlicense", "CC0-#", *[f"CC-BY{k}-#" for k in CREATIVE],
+    *[f"{kind}GPL-#{tail}" for kind in ("", "L", "A") for tail in ("", "-only", "-or-later")], "Artistic-#", "PSF-#", "OFL-#", "EUPL-#", "CDDL-#", "WTFPL",
+    "PostgreSQL", "NCSA", "MS-PL",
+)
+for _code, _words in CREATIVE.items():
+    for _article in ("a", "the"):
+        _key = f"creative_{_article}{_code.lower().replace('-', '_')}"
+        SENTENCES[_key] = f"This work is licensed under {_article} Creative Commons Attribution{_words} # International License."
+        RULES += ((_key, f"CC-BY{_code}-#"),)
+for _n, _spdx in enumerate(SPDX):
+    SENTENCES[f"spdx_{_n}_id"] = f"SPDX-License-Identifier: {_spdx}"
+    RULES += ((f"spdx_{_n}_id", _spdx),)
 # Every licence sentence has one of these words; texts without any are not cut into sentences.
-ANCHORS = ("licen", "permission", "copyright", "warrant", "redistribut", "software")
+ANCHORS = ("licen", "permission", "copyright", "warrant", "redistribut", "software", "cc0")
 
 #: where a sentence ends: closing punctuation with white space after it, and a line break unless lines are wrapped
 BREAK = r"([.!?])[\x20\x09-\x0D]+"
@@ -72,6 +197,9 @@ END = "\x01"
 #: a version; a number in a word is none
 VERSION = r"(^| )v?([0-9]+( [0-9]+)*)( |$)"
 
+#: the plus of an SPDX identifier, as in GPL-2.0+
+LATER = r"(license-identifier:.*gpl-[0-9.]+)\+"
+
 
 def plain_words(sentence: str) -> str:
     """The normal form of a fixed sentence."""
@@ -86,6 +214,10 @@ def _check_tables() -> None:
     for rule, _ in RULES:
         if not set(rule.split()) <= set(SENTENCES):
             raise ValueError(f"{rule} names an unknown sentence")
+    if len({plain_words(s) for s in SENTENCES.values()}) < len(SENTENCES):
+        raise ValueError("a sentence stands in the table twice")
+    if any(a != b and a.endswith(b) for a in SENTENCES for b in SENTENCES):
+        raise ValueError("an identifier ends with another one")  # rule_pattern() would find it inside
 
 
 _check_tables()
@@ -114,7 +246,8 @@ def identifiers(text: Column) -> Column:
     known = F.create_map(*[F.lit(x) for key, value in SENTENCES.items() for x in (plain_words(value), key)])
 
     def name(sentence: Column) -> Column:
-        words = F.trim(F.regexp_replace(sentence, "[^0-9a-z]+", " "))
+        later = F.regexp_replace(sentence, LATER, "$1 or later")
+        words = F.trim(F.regexp_replace(later, "[^0-9a-z]+", " "))
         key = F.regexp_replace(words, VERSION, "$1#$4")
         version = F.translate(F.regexp_extract(words, VERSION, 2), " ", ".")
         return F.concat(F.try_element_at(known, key), F.lit("@"), version)

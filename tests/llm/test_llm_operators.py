@@ -405,6 +405,29 @@ def test_licences_of_mixed_layouts(spark):
     }
 
 
+def test_common_licences_are_known(spark):
+    grant = "free software: you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "\n".join(licenses.SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_as_is"))
+    cases = [
+        ("This program is " + grant.format("Lesser"), "LGPL-3-or-later"), ("This program is " + grant.format("Affero"), "AGPL-3-or-later"),
+        (licenses.SENTENCES["lesser_free2"].replace("#", "2.1"), "LGPL-2.1-or-later"), (licenses.SENTENCES["isc_grant"].replace(" this", "\nthis"), "ISC"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("CC0 1.0 Universal", "CC0-1.0"),
+        ("available. This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n", "EPL-2.0"),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html", "EPL-1.0"),
+        (licenses.SENTENCES["zlib_as_is"] + "\n\n" + licenses.SENTENCES["zlib_grant"].replace(" and to", "\nand to"), "Zlib"),
+        ("Boost Software License - Version 1.0 - August 17th, 2003\n\n" + licenses.SENTENCES["boost_grant"], "BSL-1.0"),
+        ("Distributed under the Boost Software License, Version 1.0. (See the file)", "BSL-1.0"), ("MIT License\n\nCopyright (c) 2020 A", "MIT"),
+        ("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), ("BSD 3-Clause License\n\nCopyright (c) 2020, A\n\n" + bsd, "BSD-3-Clause"),
+        ("Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n", "Apache-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+        *[(f"{before}SPDX-License-Identifier: {name}{after}", name) for before, after in (("// ", "\nint x;"), ("/* ", " */\nint x;"))
+          for name in ("MIT", "Apache-2.0", "BSD-2-Clause", "0BSD", "ISC", "GPL-2.0-only", "LGPL-2.1-or-later", "AGPL-3.0", "CC0-1.0", "EPL-2.0", "Zlib", "BSL-1.0")],
+        ("# SPDX-License-Identifier: GPL-2.0+\n", "GPL-2.0-or-later"), ("The BSD disclaimer is software under no license.", ""),
+    ]
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan(make(spark, [(i, text) for i, (text, _) in enumerate(cases)])).collect()}
+    assert [(text, found[i]) for i, (text, _) in enumerate(cases)] == cases
+
+
 # 7: shards
 
 
