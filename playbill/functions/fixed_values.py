@@ -21,8 +21,6 @@ SPOTLIGHT_MAX = 4
 MAX_NAME_LENGTH = 100
 MAX_COMMENT_LENGTH = 2000
 MAX_EMAIL_LENGTH = 254
-MAX_LINKS_FOUND = 220
-MAX_LINKS_KEPT = 96
 MAX_PAGES_TOTAL = 28
 MAX_PAGES_PER_SEED = 12
 MAX_CRAWL_DEPTH = 2

@@ -146,6 +146,17 @@ def test_frontier(spark, limits, want):
     assert sorted(r.url for r in got.collect()) == [site(u) for u in want]
 
 
+def test_frontier_ranks_all_links_of_a_page(spark):
+    late = "https://h.example/events"
+    many = [f"https://h.example/some/long/way/{i:03d}" for i in range(300)]
+    df = page(spark, ("https://h.example/", "".join(f'<a href="{x}">x</a>' for x in [*many, late])), (late, ""), (many[-1], ""))
+    seeds = spark.createDataFrame([(0, "https://h.example/")], "seed int, link string")
+    crawled = lambda *budget, **limits: {r.url for r in crawl.frontier(seeds, df, 1, *budget, **limits).collect()}
+    assert crawled(2, 28) == {"https://h.example/", late}
+    assert crawled(12, 28) == {"https://h.example/", late, many[-1]}
+    assert crawled(12, 28, found=220, kept=96) == {"https://h.example/"}
+
+
 def test_whole_pages_are_read(spark):
     filler = "<p>words of a long page</p>" * 40_000
     html = "".join(f'<a href="/e/{i:04d}">x</a>' for i in range(400)) + filler + '<a href="/last">x</a><img src="/late-poster.jpg" alt="late poster">'
