@@ -209,6 +209,21 @@ def test_line_dedup_matches_brute_force(spark):
     assert collected(line_dedup.line_report(make(spark, texts))) == plain_lines(texts)
 
 
+def test_lines_meet_at_the_lowest_similarity():
+    draw, pairs = np.random.default_rng(5), 20_000
+    sets = draw.integers(0, 1 << 63, (pairs, 110)).astype(np.uint64)  # of 100 hashes each, 90 shared: 0.82
+    sig = [line_dedup.SKETCH.signatures(s.ravel(), np.full(pairs, 100)) for s in (sets[:, :100], sets[:, 10:])]
+    keys = [line_dedup.SKETCH.keys(s) for s in sig]
+    assert (~(keys[0] == keys[1]).any(1)).sum() <= 10
+    assert ((sig[0] != sig[1]).sum(1) > line_dedup.SKETCH.most_errors).sum() == 0
+
+
+def test_a_changed_character_leaves_lines_linked(spark):
+    line = "the quick brown fox jumps over the lazy dogs of the old town"  # 60 characters
+    texts = [(1, line), (2, line.replace("lazy", "lady"))]
+    assert [r["n_kept"] for r in line_dedup.line_report(make(spark, texts)).orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_repeated_rows_keep_their_lines_once(spark):
     texts = [(1, "first line of it\nsecond line of it"), (1, "first line of it\nsecond line of it"), (2, "second line of it\nnew words here")]
     kept = line_dedup.keep_first_lines(make(spark, texts))
