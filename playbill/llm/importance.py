@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playbill.llm.arrow import parts, slices, text_bytes
-from playbill.llm.words import LOWER, PLAIN_WORDS, find_words
+from playbill.llm.words import LOWER, PLAIN_WORDS, find_words, spread
 from playbill.session import cut_lineage
 
 BUCKETS = 10_000
@@ -72,7 +72,7 @@ def _feature_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row
     # the block's words in a row, each followed by one space; words and pairs of neighbours are then spans of it
     places = np.cumsum(lengths + 1) - (lengths + 1)
     flat = np.full(int(lengths.sum()) + len(lengths), _SPACE, np.uint8)
-    flat[np.repeat(places - starts, lengths) + _spread(starts, lengths)] = data[_spread(starts, lengths)]
+    flat[np.repeat(places - starts, lengths) + spread(starts, lengths)] = data[spread(starts, lengths)]
     # exact numbers of distinct words, by the library's dictionary of their bytes
     offsets = np.append(places, len(flat)).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
@@ -91,12 +91,6 @@ def _feature_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row
     return np.concatenate([rows[fresh:], rows[pairs]]), np.concatenate([single, double])
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All positions of the spans, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of (row of each feature, its bucket, row of each word) of UTF-8 texts; a feature occurs in one block."""
     lowered = LOWER[data]

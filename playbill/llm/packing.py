@@ -9,25 +9,26 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer, pre_tokenizers
 
-from playbill.llm.arrow import hex_digest, parts, worker_cache
+from playbill.llm.arrow import hex_digest, parts, slices, text_bytes, worker_cache
+from playbill.llm.words import LOWER, SPACE_WORDS, find_words, spread
 from playbill.session import cut_lineage
 
 CAPACITY = 2048
 END_ID = 1
 #: most bytes of a vocabulary file that is sent to the executors
 MAX_FILE = 64 << 20
-#: a worker remembers the ids of two generations of so many words of at most so many bytes
+#: a worker remembers the ids of two generations of so many keys of at most so many bytes
 MAX_WORDS, MAX_WORD = 400_000, 64
 #: ranks of one length are dealt out in parts of about so many pieces, in at least so many parts
 PART_ROWS, LEAST_PARTS = 100_000, 1024
@@ -48,18 +49,28 @@ RULES = {
         ],
     },
 }
-_PIECES = regex.compile(_SPLIT).findall
-#: Latin characters without white space and control characters; these are in normal form and lower-cased one by one
-_SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\u024f]+").fullmatch
+#: kinds of bytes: white space, letters, digits, signs, and those that leave their word whole
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[~SPACE_WORDS] = _SPACE
+_KIND[[ord("'"), ord("<")]] = _ODD
+#: characters U+00C0 to U+023F are letters in two bytes, with normal forms and one lower-case letter each, but for these
+_NO_LETTER = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+_PLAIN = re.compile(rb"(?:[a-z]|[\xc3-\xc8][\x80-\xbf](?<!\xc3[\x97\xb7])(?<!\xc4\xb0))+|[0-9]|[!-&(-/:;=-@\[-`{-~]+").fullmatch
+#: texts are taken in blocks of about so many bytes
+BLOCK = 1 << 21
 PATTERNS = "length long, first_rank long, stop_rank long, first_sequence long, width long, first_offset long"
 
 
 class WordIds:
-    """Ids of text parts between ASCII white space, as little-endian 32-bit integers.
+    """Ids of texts, as little-endian 32-bit integers.
 
-    The rules of a vocabulary with ``RULES`` drop white space and never look across it, so a text's ids are those of its words in a row. Words
-    of plain Latin characters are cut into the pieces of the rules here, and the library's model gives the ids of each piece once; any other word
-    goes through the library as a whole. Vocabularies with other rules have whole texts encoded by the library.
+    The rules of a vocabulary with ``RULES`` drop white space and never look across it, so a text's ids are those of its words in a row. Plain Latin
+    words are cut into the pieces of the rules by array operations, which makes far fewer different keys than words; every other word is a key as a
+    whole. The library gives the ids of each key once. Vocabularies with other rules have whole texts encoded by the library.
     """
 
     def __init__(self, content: bytes):
@@ -69,46 +80,102 @@ class WordIds:
         self.by_word = rules["normalizer"] == RULES["normalizer"] and rules["pre_tokenizer"] == RULES["pre_tokenizer"]
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}  # words of the generation before
-        self.pieces: dict[str, bytes] = {}
+        self.keys: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # keys of the generation before
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of each row of UTF-8 bytes."""
         if not self.by_word:
-            return [self._ids(t) for t in texts]
-        split = [t.split() for t in texts]
-        if len(self.words) > MAX_WORDS:
-            self.words, self.before, self.pieces = {}, self.words, {}
-        new = set().union(*split).difference(self.words)
-        again = new & self.before.keys()
-        self.words.update((word, self.before[word]) for word in again)
-        self._learn(new - again)
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > MAX_WORD:
-                del self.words[word]
+            return [self._ids(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        out = []
+        for a, b in slices(offsets, BLOCK):
+            if offsets[b] - offsets[a] > BLOCK:  # a long row, cut where the words end
+                out.append(b"".join(x for c, d in _long(data, offsets[a], offsets[b]) for x in self._rows(data[c:d], np.array([0, d - c]))))
+            else:
+                out += self._rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        return out
+
+    def _rows(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        flat, starts, ends, firsts = _keys(data, offsets)
+        lengths = ends - starts
+        places = np.append(0, np.cumsum(lengths))
+        texts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(flat)]).dictionary_encode()
+        found = self._look_up(texts.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(sizes) - sizes
+        key = texts.indices.to_numpy()
+        every = np.frombuffer(b"".join(found), "<u4")[spread(first[key], sizes[key])]
+        cuts = np.append(0, np.cumsum(sizes[key]))[firsts].tolist()
+        return [every[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _look_up(self, keys: list[bytes]) -> list[bytes]:
+        if len(self.keys) > MAX_WORDS:
+            self.keys, self.before = {}, self.keys
+        out = list(map(self.keys.get, keys))
+        plain = []
+        for n, ids in enumerate(out):
+            if ids is None:
+                key = keys[n]
+                if (old := self.before.get(key)) is not None:
+                    self.keys[key] = out[n] = old
+                elif len(key) <= MAX_WORD and _PLAIN(key):
+                    plain.append(n)
+                else:
+                    out[n] = self._ids(key)
+                    if len(key) <= MAX_WORD:
+                        self.keys[key] = out[n]
+        for n, found in zip(plain, self.bare.encode_batch_fast([keys[n].decode().lower() for n in plain], add_special_tokens=False)):
+            ids = found.ids
+            self.keys[keys[n]] = out[n] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def _ids(self, text: bytes) -> bytes:
         return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        cut: list[tuple[bytes, list[str]]] = []
-        for word in words:
-            if word.isalpha() and len(word) <= MAX_WORD:
-                cut.append((word, [word.decode().lower()]))
-            elif len(word) <= MAX_WORD and _SIMPLE(text := word.decode("utf-8", "replace")) and not any(a in text for a in self.added):
-                cut.append((word, _PIECES(text.lower())))
-            else:
-                self.words[word] = self._ids(word)
-        new = list({p for _, pieces in cut for p in pieces}.difference(self.pieces))
-        for piece, found in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False)):
-            ids = found.ids
-            self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        pieces = self.pieces
-        for word, found in cut:
-            self.words[word] = pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])
+
+def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words without white space, start and end of every key, and the number of keys before each row.
+
+    Words of Latin letters, ASCII digits and signs are lower-cased in A-Z and cut into runs of letters, single digits and runs of signs. A word with an
+    apostrophe, a sign of added tokens, a control character or any other character stands whole and unchanged.
+    """
+    starts, ends, firsts = find_words(data, offsets, SPACE_WORDS)
+    kind = _KIND[data]
+    after = np.append(data[1:], np.uint8(0))
+    latin = (data >= 0xC3) & (data <= 0xC8) & (after & 0xC0 == 0x80)
+    for lead, last in _NO_LETTER:
+        latin &= (data != lead) | (after != last)
+    kind[latin] = _LETTER
+    kind[1:][latin[:-1]] = _LETTER
+    odd = np.append(0, np.cumsum(kind == _ODD))
+    whole = odd[ends] > odd[starts]
+    change = np.zeros(len(data) + 1, np.int8)
+    change[starts[whole]] += 1
+    change[ends[whole]] -= 1
+    kind[np.cumsum(change[:-1], dtype=np.int8) > 0] = _ODD
+    lowered = np.where(kind == _ODD, data, LOWER[data])
+    inside = kind != _SPACE
+    begins = np.zeros(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begins[starts] = True
+    begins &= inside
+    at = np.flatnonzero(begins)
+    before = np.append(0, np.cumsum(inside))
+    begin = before[at]
+    return lowered[inside], begin, np.append(begin[1:], before[-1])[: len(begin)], np.searchsorted(at, offsets, "left")
+
+
+def _long(data: np.ndarray, start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """A long row in blocks that end with a word; a word is never cut, whatever its length."""
+    spaces = start + np.flatnonzero(~SPACE_WORDS[data[start:stop]])
+    while start < stop:
+        end = stop
+        if stop - start > BLOCK:
+            n = int(np.searchsorted(spaces, start + BLOCK, "right"))
+            near = spaces[n - 1] if n and spaces[n - 1] > start else (spaces[n] if n < len(spaces) else stop)
+            end = int(near) if near < stop else stop
+        yield start, end
+        start = end
 
 
 def _load(content: bytes) -> WordIds:
@@ -124,7 +191,7 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
     32-bit integers) and ``doc_tokens``. A document's ids end with ``end_id``; it is cut after every ``capacity`` ids.
 
     A null text is empty and an empty text has the end id alone; null ids and repeated rows are cut like any other row; bytes that are no
-    UTF-8 read as replacement characters; other columns are not looked at; an empty table gives an empty table. A task holds the ids of 64 texts.
+    UTF-8 read as replacement characters; other columns are not looked at; an empty table gives an empty table. A task holds the ids of 1,024 texts.
     """
     with open(vocabulary, "rb") as file:
         content = file.read(MAX_FILE + 1)
@@ -135,9 +202,9 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _load(shipped.value)
-        for part in parts(batches, 64):
+        for part in parts(batches, 1024):
             keys, starts, cuts, totals = [], [], [], []
-            for row, ids in enumerate(words.encode([t or b"" for t in part.column(1).to_pylist()])):
+            for row, ids in enumerate(words.encode(*text_bytes(part.column(1)))):
                 ids += end
                 for at in range(0, len(ids), most):
                     keys.append(row)

@@ -118,3 +118,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
         else:
             out.append(fold(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of the spans, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)

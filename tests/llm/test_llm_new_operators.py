@@ -57,15 +57,23 @@ def library():
     return lambda text: out.encode(text or "", add_special_tokens=False).ids
 
 
-def test_words_have_the_ids_of_whole_texts(library):
+def encoded(words, texts):
+    raw = [t.encode() for t in texts]
+    return [np.frombuffer(x, "<u4").tolist() for x in words.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))]
+
+
+@pytest.mark.parametrize("block", [packing.BLOCK, 40])
+def test_words_have_the_ids_of_whole_texts(library, monkeypatch, block):
+    monkeypatch.setattr(packing, "BLOCK", block)
     draw = random.Random(2)
     with open(VOCABULARY, "rb") as file:
         words = packing.WordIds(file.read())
     assert words.by_word
     pool = [*map(chr, range(1, 0x300)), *"ΣσςİıſḰ 　日本한\U0001f600", "<|endoftext|>", "'s", "'ll", " ", " "]
     texts = ["".join(draw.choice(pool) for _ in range(draw.randint(0, 50))) for _ in range(1500)] + [f"a{chr(c)}b {chr(c)}'s {chr(c) * 2}" for c in range(0x250)]
-    found = words.encode([t.encode() for t in texts])
-    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library(t) for t in texts]
+    texts += ["".join(draw.choice("abZ.,-19' <|>\n\t") for _ in range(draw.randint(0, 200))) for _ in range(500)]
+    assert encoded(words, texts) == [library(t) for t in texts]
+    assert encoded(words, []) == [] and encoded(words, ["", " "]) == [[], []]
 
 
 def test_generations_of_words_and_other_rules(monkeypatch, library):
@@ -76,9 +84,9 @@ def test_generations_of_words_and_other_rules(monkeypatch, library):
     texts = [t or "" for _, t in awkward() if len(t or "") < 5000]
     for _ in range(2):
         for text in texts:
-            assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() == library(text)
+            assert encoded(words, [text]) == [library(text)]
     other = packing.WordIds(content.replace(b'"Lowercase"', b'"NFKC"', 1))
-    assert not other.by_word and len(other.encode([b"Some Words", b""])[0]) > 0
+    assert not other.by_word and encoded(other, ["some words", ""]) == [library("some words"), []]
 
 
 def check_layout(rows, capacity):
