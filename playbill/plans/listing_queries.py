@@ -119,7 +119,7 @@ def _(spark, d):
 def _(spark, d):
     path = folder(spark) + "/events"
     sinks.write_events(X.events(spark, d), path)
-    return readers.read_table(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return sinks.stored_table(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
 @query("delete_by_ids", "S8", X.ctes("l") + f"SELECT id FROM l WHERE NOT ({DECIDED})")

@@ -269,30 +269,6 @@ def test_feed_document_and_rules(spark, tmp_path):
     assert readers.load_rules(spark, str(tmp_path / "bad.json")) == readers.load_rules(spark, str(tmp_path / "none.json")) == readers.Rules()
 
 
-def test_tables_are_replaced_as_a_whole(spark, tmp_path):
-    path = str(tmp_path / "t")
-    df = spark.range(5)
-    sinks.replace_table(df, path)
-    sinks.replace_table(spark.read.parquet(path).filter("id < 3"), path)
-    assert spark.read.parquet(path).count() == 3
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
-
-
-def test_a_broken_replacement_is_undone(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    sinks.replace_table(spark.range(5), path)
-    (tmp_path / "t").rename(tmp_path / "t.old-1")  # a run that died between its two renames
-    (tmp_path / "t.new-1").mkdir()
-    sinks.recover(spark, path)
-    assert spark.read.parquet(path).count() == 5
-    (tmp_path / "t").rename(tmp_path / "t.old-1")
-    sinks.replace_table(spark.range(2), path)
-    assert spark.read.parquet(path).count() == 2 and not [p for p in tmp_path.iterdir() if ".old-" in p.name]
-    with pytest.raises(Exception):
-        sinks._swap(spark, f"{path}.missing", path)
-    assert spark.read.parquet(path).count() == 2
-
-
 def test_a_replayed_batch_changes_nothing_but_what_follows_runs(spark, tmp_path):
     from playbill import schemas
     from playbill.streaming import jobs
@@ -316,8 +292,8 @@ def test_a_replayed_batch_changes_nothing_but_what_follows_runs(spark, tmp_path)
     once("c", False)
     once("d", False)  # the same batch from a new checkpoint: its marks are there
     assert len(calls) == 2 and calls[1][0] == 1 and "website" in calls[1][1]
-    assert spark.read.parquet(f"{tmp_path}/store/events").count() == 1
-    assert spark.read.parquet(f"{tmp_path}/store/venues").head().website == "https://hall.example"
+    assert sinks.stored_table(spark, f"{tmp_path}/store", "events").count() == 1
+    assert sinks.stored_table(spark, f"{tmp_path}/store", "venues").head().website == "https://hall.example"
 
 
 def test_coverage_puts_unknown_dates_first(spark):
