@@ -14,10 +14,11 @@ from playbill.operators import merge as M
 from playbill.operators import pages as P
 from playbill.operators import scorecards as K
 from playbill.operators import venues as N
+from playbill.plans import merge_sql as Q
 from playbill.plans import sql as S
 from playbill.plans import views as X
 from playbill.plans.function_queries import SCORE
-from playbill.plans.listing_queries import DECIDED, LINKED, NEW_VENUE
+from playbill.plans.listing_queries import DECIDED, EXCLUDED, LINKED, NEW_VENUE, TERMS
 from playbill.plans.registry import query
 
 OLD = "old AS (SELECT * FROM l WHERE order_key % 2 = 0), new AS (SELECT * FROM l WHERE order_key % 2 = 1)\n"
@@ -310,14 +311,14 @@ def _(spark, d):
     return out.select(F.col("cluster").cast("bigint").alias("cluster"), F.col("id").cast("bigint").alias("doc_id"), "n", "venue")
 
 
-@query("partial_duplicates", "A5 F18")
+@query("partial_duplicates", "A5 F18", Q.partial_duplicates(SURVIVORS))
 def _(spark, d):
     exact = M.dedupe_exact(X.events(spark, d))
     out = M.dedupe_partial(exact.select(*M.EVENT_COLUMNS))
     return out.select("id", "act", "date", "venue_id", "url", F.array_join("sources", "|").alias("sources"), "poster_url", "summary")
 
 
-@query("full_remediation", "A6")
+@query("full_remediation", "A6", Q.full_remediation(SURVIVORS))
 def _(spark, d):
     rows = X.events(spark, d).withColumn("venue_id", F.lit(""))
     groups = X.listings(spark, d).select(F.concat_ws("/", "date", "venue_id").alias("group_id"), "id")
@@ -329,15 +330,22 @@ def merged(spark, d):
     return old, M.merge(old, new, X.venues(spark, d), X.AS_OF)
 
 
-@query("merged_store", "A7")
+@query("merged_store", "A7", Q.merged_store(Q.MERGED_COLUMNS + ", added"))
 def _(spark, d):
     rows = merged(spark, d)[1][0]
     return rows.select("id", "act", "venue", "venue_id", "date", "url", F.array_join("sources", "|").alias("sources"), "poster_url", "summary", "added")
 
 
-@query("merge_changes", "A21")
+@query("merge_changes", "A21", Q.merge_changes(EXCLUDED, DECIDED))
 def _(spark, d):
     from playbill.operators.diagnostics import change_rows
 
-    old, (rows, decisions, _) = merged(spark, d)
-    return change_rows(M.merge_counts(old, decisions, rows, X.AS_OF))
+    old, (rows, decisions, created) = merged(spark, d)
+    listings = X.listings(spark, d)
+    known = X.venues(spark, d).select("id", "name", "aliases", "location", "ord").unionByName(created)
+    untagged = listings.select("id", F.array(F.lit("late")).alias("tags"), "ord").filter("false")
+    _, counts = H.counted_upkeep(
+        rows, known.withColumn("last_event_date", F.lit(None).cast("date")), X.images(spark, d), TERMS, listings.filter(DECIDED).select("id"), untagged,
+        listings.select(F.concat_ws("/", "date", "venue_id").alias("group_id"), "id"),
+    )
+    return change_rows(H.run_counts(M.merge_counts(old, decisions, rows, X.AS_OF), counts))

@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "playbill", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,6 +67,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` with the number of rows, which the pass that writes them counts."""
+    seen = Observation()
+    stored = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return stored, seen.get["n"]
+
+
 @contextmanager
 def working_tables(spark: SparkSession) -> Iterator[None]:
     """Remove the tables written inside the block when it ends. Results that need them must be stored by then."""
