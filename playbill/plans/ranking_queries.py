@@ -15,9 +15,11 @@ from playbill.plans import sql as S
 from playbill.plans import views as X
 from playbill.plans.function_queries import VENUE_WEIGHT, SCORE, listing_score_sql
 from playbill.plans.join_queries import page_resources
-from playbill.plans.listing_queries import QUALITY, WINDOW
+from playbill.plans.listing_queries import QUALITY, WINDOW, folder
 from playbill.plans.registry import query
 from playbill.plans.score_queries import memory
+from playbill.session import cut_lineage
+from playbill.sources.sinks import replace_tables, stored_table
 
 SEED = 7
 
@@ -125,6 +127,17 @@ def _(spark, d):
     return Q.search(X.documents(spark, d), SEARCH, X.AS_OF).select("doc_id", "date", F.round("score", 6).alias("score"))
 
 
+@query("indexed_search", "T2 T3 F24", X.ctes("d") + ", " + SCORED_DOCS + f"SELECT doc_id, date, round(score, 6) AS score FROM s WHERE {WINDOW} AND score > 0 AND ({FOUND})")
+def _(spark, d):
+    docs = X.documents(spark, d)
+    store = folder(spark)
+    index = Q.build_index(docs)
+    postings = cut_lineage(index["postings"])
+    replace_tables({"postings": postings, "vocabulary": Q.vocabulary(postings)}, store)
+    stored = {name: stored_table(spark, store, name) for name in index}
+    return Q.indexed_search(docs, stored, SEARCH, X.AS_OF).select("doc_id", "date", F.round("score", 6).alias("score"))
+
+
 @query("search_feed", "T4", X.ctes("d") + ", " + SCORED_DOCS + f"""SELECT CAST(doc_id AS VARCHAR) AS id, CAST(date AS VARCHAR) AS "isoDate", url, venue, lang AS tags FROM s WHERE {WINDOW} AND score > 0 AND ({FOUND})""")
 def _(spark, d):
     return Q.search_feed(X.documents(spark, d), SEARCH, X.AS_OF).select("id", "isoDate", "url", "venue", F.array_join("tags", "|").alias("tags"))
