@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -126,8 +125,8 @@ def assign_images(resources: DataFrame, pages: DataFrame) -> DataFrame:
 
     A thumbnail that is unique on its page stays. The others take, in row order, the best image still
     free; a duplicate that finds none is cleared. Rows with equal words on a page compete for the same
-    images, so only as many of them as the page has images can win: later ones are settled without
-    reaching the grouped step.
+    images, so only as many of them as the page has images can win: later ones never take part in the
+    proposals that hand the images out.
     """
     rows = resources.withColumns({"_url": strip("url"), "_thumb": strip("thumbnail_url")})
     shared = (
@@ -145,12 +144,10 @@ def assign_images(resources: DataFrame, pages: DataFrame) -> DataFrame:
     everything = cut_lineage(page_images(wanted).select(F.col("url").alias("_url"), "pos", "src", "words"))
     with_images = everything.select("_url").distinct().withColumn("_paged", F.lit(True))
     free = everything.join(kept, ["_url", "src"], "left_anti")
-    boards = free.groupBy("_url").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "src", "words"))).alias("board"), F.count(F.lit(1)).alias("_room")
-    ).withColumn("vocabulary", F.array_distinct(F.flatten(F.transform("board", lambda b: b["words"]))))
+    room = free.groupBy("_url").agg(F.count(F.lit(1)).alias("_room"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("vocabulary"))
     marked = marked.join(with_images, "_url", "left")
     looking = (
-        marked.filter("_needs").join(boards.select("_url", "_room", "vocabulary"), "_url")
+        marked.filter("_needs").join(room, "_url")
         .withColumn("wish", F.array_sort(F.array_intersect(title_words("title"), "vocabulary")))
         .filter(F.size("wish") > 0).select("_url", "ord", "wish", "_room")
         .withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)))
@@ -158,33 +155,53 @@ def assign_images(resources: DataFrame, pages: DataFrame) -> DataFrame:
     part = Window.partitionBy("_url", "wish", "salt").orderBy("ord")
     whole = Window.partitionBy("_url", "wish").orderBy("ord")
     ahead = looking.withColumn("_r", F.row_number().over(part)).filter("_r <= _room")
-    ahead = ahead.withColumn("_r", F.row_number().over(whole)).filter("_r <= _room").select("_url", "ord", "wish")
-    ord_type = dict(resources.dtypes)["ord"]
-    given = ahead.groupBy("_url").cogroup(boards.select("_url", "board").groupBy("_url")).applyInPandas(
-        _hand_out, f"_url string, ord {ord_type}, _won string"
-    )
-    done = marked.join(given, ["_url", "ord"], "left")
+    # the n-th row with one wish can get the n-th image of its list at best
+    ahead = cut_lineage(ahead.withColumn("at", F.row_number().over(whole)).filter("at <= _room").select("_url", "wish", "ord", "at"))
+    given = proposals(ahead, image_lists(ahead.select("_url", "wish").distinct(), free))
+    done = marked.join(given.select("_url", "ord", F.col("src").alias("_won")), ["_url", "ord"], "left")
     cleared = F.col("_needs") & F.col("_paged").isNotNull() & (F.col("_times") > 1)
     thumb = F.coalesce("_won", F.when(~F.coalesce(cleared, F.lit(False)), F.col("thumbnail_url")))
     return done.withColumn("thumbnail_url", thumb).select(*resources.columns)
 
 
-def _hand_out(rows: pd.DataFrame, board: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if len(rows) and len(board):
-        images = [(b["src"], frozenset(b["words"])) for b in board["board"].iloc[0]]
-        for url, ord_, wish in rows.sort_values("ord").itertuples(index=False):
-            scores = [len(words.intersection(wish)) for _, words in images]
-            best = max(scores, default=0)
-            if best:
-                out.append((url, ord_, images.pop(scores.index(best))[0]))
-    return pd.DataFrame(out, columns=["_url", "ord", "_won"])
+def image_lists(wishes: DataFrame, images: DataFrame) -> DataFrame:
+    """Per page and wish the images that share words with it, most shared words first, then in page order: ``place`` counts from 1."""
+    words = wishes.select("_url", "wish", F.explode("wish").alias("word"))
+    hits = words.join(images.select("_url", "pos", "src", F.explode("words").alias("word")), ["_url", "word"])
+    scored = hits.groupBy("_url", "wish", "pos", "src").agg(F.count(F.lit(1)).alias("score"))
+    order = Window.partitionBy("_url", "wish").orderBy(F.desc("score"), "pos")
+    return cut_lineage(scored.select("_url", "wish", "src", F.row_number().over(order).alias("place")))
+
+
+def proposals(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Images handed out in row order, worked out for all rows at once: ``_url, ord, src`` of the rows that get one.
+
+    Every row proposes to the image at its place ``at`` of its list. An image keeps the earliest of its rows, the others go on to their next image, until
+    nobody is turned away. All images prefer earlier rows, so the outcome is that of serving the rows one after the other, whatever the order of proposals.
+    Pages without a rejection leave the rounds; their number is bounded by the images of one page.
+    """
+    settled = None
+    while True:
+        offers = rows.join(lists.withColumnRenamed("place", "at"), ["_url", "wish", "at"])
+        first = offers.groupBy("_url", "src").agg(F.min("ord").alias("_first"))
+        judged = cut_lineage(offers.join(first, ["_url", "src"]).withColumn("_lost", F.col("ord") != F.col("_first")))
+        unsettled = judged.filter("_lost").select("_url").distinct()
+        over = judged.filter("not _lost") if judged.filter("_lost").isEmpty() else judged.join(unsettled, "_url", "left_anti")
+        over = over.select("_url", "ord", "src")
+        settled = over if settled is None else settled.unionByName(over)
+        if judged.filter("_lost").isEmpty():
+            return settled
+        again = judged.join(unsettled, "_url", "left_semi")
+        rows = again.select("_url", "wish", "ord", (F.col("at") + F.col("_lost").cast("int")).alias("at"))
 
 
 def fallback_image(resources: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows without a thumbnail take the preview image their page names."""
-    previews = og_image(pages).groupBy(strip("url").alias("_url")).agg(F.min("og").alias("_og"))
     rows = resources.withColumn("_url", F.when(F.coalesce("thumbnail_url", F.lit("")) == "", strip("url")))
+    waiting = rows.filter("_url is not null").select("_url").distinct()
+    # only pages some row waits for are parsed
+    wanted = pages.withColumn("_url", strip("url")).join(waiting, "_url", "left_semi").drop("_url")
+    previews = og_image(wanted).groupBy(strip("url").alias("_url")).agg(F.min("og").alias("_og"))
     return rows.join(previews, "_url", "left").withColumn(
         "thumbnail_url", F.coalesce(F.nullif(F.col("thumbnail_url"), F.lit("")), "_og")
     ).select(*resources.columns)
