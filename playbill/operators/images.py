@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from playbill.functions import fixed_values as V
 from playbill.functions.text import blank_to_null, split_title, strip, title_words
 from playbill.functions.urls import asset_path, extension_for, image_id, is_http, poster_quality
+from playbill.operators.matching import serve_in_order
 from playbill.operators.pages import og_image, page_images
 from playbill.session import cut_lineage
 
@@ -157,7 +158,8 @@ def assign_images(resources: DataFrame, pages: DataFrame) -> DataFrame:
     ahead = looking.withColumn("_r", F.row_number().over(part)).filter("_r <= _room")
     # the n-th row with one wish can get the n-th image of its list at best
     ahead = cut_lineage(ahead.withColumn("at", F.row_number().over(whole)).filter("at <= _room").select("_url", "wish", "ord", "at"))
-    given = proposals(ahead, image_lists(ahead.select("_url", "wish").distinct(), free))
+    lists = image_lists(ahead.select("_url", "wish").distinct(), free)
+    given = serve_in_order(ahead, lists, ["_url", "wish"], ["_url", "src"], part="_url")
     done = marked.join(given.select("_url", "ord", F.col("src").alias("_won")), ["_url", "ord"], "left")
     cleared = F.col("_needs") & F.col("_paged").isNotNull() & (F.col("_times") > 1)
     thumb = F.coalesce("_won", F.when(~F.coalesce(cleared, F.lit(False)), F.col("thumbnail_url")))
@@ -165,34 +167,12 @@ def assign_images(resources: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def image_lists(wishes: DataFrame, images: DataFrame) -> DataFrame:
-    """Per page and wish the images that share words with it, most shared words first, then in page order: ``place`` counts from 1."""
+    """Per page and wish the images that share words with it, most shared words first, then in page order: ``at`` counts from 1."""
     words = wishes.select("_url", "wish", F.explode("wish").alias("word"))
     hits = words.join(images.select("_url", "pos", "src", F.explode("words").alias("word")), ["_url", "word"])
     scored = hits.groupBy("_url", "wish", "pos", "src").agg(F.count(F.lit(1)).alias("score"))
     order = Window.partitionBy("_url", "wish").orderBy(F.desc("score"), "pos")
-    return cut_lineage(scored.select("_url", "wish", "src", F.row_number().over(order).alias("place")))
-
-
-def proposals(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """Images handed out in row order, worked out for all rows at once: ``_url, ord, src`` of the rows that get one.
-
-    Every row proposes to the image at its place ``at`` of its list. An image keeps the earliest of its rows, the others go on to their next image, until
-    nobody is turned away. All images prefer earlier rows, so the outcome is that of serving the rows one after the other, whatever the order of proposals.
-    Pages without a rejection leave the rounds; their number is bounded by the images of one page.
-    """
-    settled = None
-    while True:
-        offers = rows.join(lists.withColumnRenamed("place", "at"), ["_url", "wish", "at"])
-        first = offers.groupBy("_url", "src").agg(F.min("ord").alias("_first"))
-        judged = cut_lineage(offers.join(first, ["_url", "src"]).withColumn("_lost", F.col("ord") != F.col("_first")))
-        unsettled = judged.filter("_lost").select("_url").distinct()
-        over = judged.filter("not _lost") if judged.filter("_lost").isEmpty() else judged.join(unsettled, "_url", "left_anti")
-        over = over.select("_url", "ord", "src")
-        settled = over if settled is None else settled.unionByName(over)
-        if judged.filter("_lost").isEmpty():
-            return settled
-        again = judged.join(unsettled, "_url", "left_semi")
-        rows = again.select("_url", "wish", "ord", (F.col("at") + F.col("_lost").cast("int")).alias("at"))
+    return cut_lineage(scored.select("_url", "wish", "src", F.row_number().over(order).alias("at")))
 
 
 def fallback_image(resources: DataFrame, pages: DataFrame) -> DataFrame:

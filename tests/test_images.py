@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playbill.operators import images
+from playbill.operators.matching import serve_in_order
 
 
 def serve(rows, board):
@@ -33,8 +34,10 @@ def test_proposals_serve_rows_in_order(spark, seed):
         want |= serve(mine, board)
     board = spark.createDataFrame(pages, "_url string, pos int, src string, words array<string>")
     waiting = spark.createDataFrame(rows, "_url string, ord string, wish array<string>").withColumn("at", F.lit(1))
-    got = images.proposals(waiting, images.image_lists(waiting.select("_url", "wish").distinct(), board))
-    assert {r.ord: r.src for r in got.collect()} == want
+    lists = images.image_lists(waiting.select("_url", "wish").distinct(), board)
+    for part in ("_url", None):
+        got = serve_in_order(waiting, lists, ["_url", "wish"], ["_url", "src"], part)
+        assert {r.ord: r.src for r in got.collect()} == want
 
 
 def test_a_page_with_a_hundred_thousand_rows(spark):
