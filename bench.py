@@ -16,6 +16,7 @@ HEADLINES = (
     "feed_window", "hydrated_scan", "exact_duplicates", "exact_matches", "partial_matches", "venue_resolution", "spotlight_pool",
     "url_outcomes", "distinct_events_per_url", "scorecards", "source_memory", "ranked_search", "link_graph", "top_page_links",
     "page_text", "assigned_images", "duplicate_clusters", "weighted_venue_sample", "fingerprint_rows", "merged_store",
+    "indexed_search", "partial_duplicates", "full_remediation",
 )
 
 
