@@ -107,12 +107,16 @@ def _(spark, d):
     return M.partial_match(new, old).select("id", "match_id")
 
 
-@query("venue_score_lookup", "J9", X.ctes("v", "card") + f"""SELECT v.id, round(coalesce(a.score, b.score), 6) AS score FROM v LEFT JOIN (SELECT key, {SCORE} AS score FROM card WHERE key LIKE '%7') a ON a.key = v.id
-LEFT JOIN (SELECT 'supplier#' || lpad(substr(key, 3), 9, '0') AS key, {SCORE} AS score FROM card WHERE key LIKE '%3') b ON b.key = lower(v.name)""")
+ODD = "CAST(substr(key, 3) AS INT) % 2 = 1"
+
+
+@query("venue_score_lookup", "J9", X.ctes("v", "card") + f"""SELECT v.id, round(coalesce(a.score, b.score), 6) AS score FROM v LEFT JOIN (SELECT key, {SCORE} AS score FROM card WHERE NOT {ODD}) a ON a.key = v.id
+LEFT JOIN (SELECT 'supplier#' || lpad(substr(key, 3), 9, '0') AS key, {SCORE} AS score FROM card WHERE {ODD}) b ON b.key = lower(v.name)""")
 def _(spark, d):
     cards = X.view(spark, d, "card").withColumn("kind", F.lit("venue"))
     named = F.concat(F.lit("supplier#"), F.lpad(F.substr("key", F.lit(3)), 9, "0"))
-    keyed = cards.filter("key like '%7'").unionByName(cards.filter("key like '%3'").withColumn("key", named))
+    # every second card goes by the name of its venue, the others by its id
+    keyed = cards.withColumn("key", F.when(F.expr(ODD), named).otherwise(F.col("key")))
     return K.venue_scores(X.venues(spark, d), keyed, X.SCORE_CLOCK).select("id", F.round("score", 6).alias("score"))
 
 

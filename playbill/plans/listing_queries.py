@@ -56,15 +56,15 @@ def _(spark, d):
 
 
 def result_texts(spark, d):
-    """Search-result text per document: one block for the document, one for its neighbour."""
-    rows = X.documents(spark, d).withColumn("act", F.regexp_replace("act", r"\s+", " "))
+    """Search-result text per document, with its whole text as the title: one block for the document, one for its neighbour."""
+    rows = X.documents(spark, d).withColumn("act", F.regexp_replace("summary", r"\s+", " "))
     block = lambda n: F.concat(
         F.lit("## Query\ntitle: "), F.col("act"), F.lit("\nsnippet: "), F.col("tags")[0], F.lit("\nlink: "), F.concat("url", F.lit(n)), F.lit(").\n---\n")
     )
     return rows.select("doc_id", F.concat(block("/a"), block("/b"), block("/a")).alias("blob"))
 
 
-ACT_LINE = "trim(regexp_replace(act, '\\s+', ' ', 'g'))"
+ACT_LINE = "trim(regexp_replace(summary, '\\s+', ' ', 'g'))"
 
 
 @query("search_result_blocks", "S3", X.ctes("d") + f"""SELECT doc_id, p.pos, {ACT_LINE} AS title, lang AS snippet, url || p.tail AS link

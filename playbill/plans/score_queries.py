@@ -145,8 +145,8 @@ def _(spark, d):
 
 # Source memory ------------------------------------------------------------------------------
 
-STEP_DAY = "2024-01-11"
-STEP = f"""step AS (SELECT url, count(*) FILTER (WHERE added) AS a, count(*) AS s, count(DISTINCT query) AS dis FROM r WHERE run_date = DATE '{STEP_DAY}' GROUP BY url),
+STEP = f"""step AS (SELECT url, count(*) FILTER (WHERE added) AS a, count(*) AS s, count(DISTINCT query) AS dis FROM r WHERE run_date = (SELECT max(run_date) FROM r) GROUP BY url),
+mem AS (SELECT * FROM mem_before),
 grown AS (SELECT coalesce(mem.host, regexp_extract(step.url, '^https://([^/]*)', 1)) AS host, coalesce(mem.url, step.url) AS url, coalesce(events_added, 0) + coalesce(a, 0) AS events_added, coalesce(events_seen, 0) + coalesce(s, 0) AS events_seen,
   coalesce(runs_contributed, 0) + CASE WHEN s IS NULL THEN 0 ELSE 1 END AS runs_contributed, coalesce(first_seen, TIMESTAMP '{X.SCORE_CLOCK}') AS first_seen, CASE WHEN s IS NULL THEN last_seen ELSE TIMESTAMP '{X.SCORE_CLOCK}' END AS last_seen
   FROM mem FULL JOIN (SELECT * FROM step WHERE dis > 1) step ON step.url = mem.url),
@@ -159,14 +159,16 @@ def memory(spark, d):
 
 
 def remembered(spark, d):
-    run = X.view(spark, d, "r").filter(f"run_date = date '{STEP_DAY}'")
+    runs = X.view(spark, d, "r")
+    run = runs.filter(F.col("run_date") == runs.agg(F.max("run_date")).scalar())
     # the run table has no acts, so its queries stand in for the distinct events of a page
     pairs = run.select("url", "query").distinct().groupBy("url").agg(F.count(F.lit(1)).alias("distinct_events"))
     out = K.url_outcomes(run).join(pairs, "url")
-    return K.remember_sources(memory(spark, d), out, X.SCORE_CLOCK)
+    before = X.view(spark, d, "mem_before").withColumn("last_picked", F.lit(None).cast("timestamp"))
+    return K.remember_sources(before, out, X.SCORE_CLOCK)
 
 
-@query("source_memory", "A16 P16", X.ctes("r", "mem") + ", " + STEP + "SELECT host, url, events_added, events_seen, runs_contributed, first_seen, last_seen FROM kept")
+@query("source_memory", "A16 P16", X.ctes("r", "mem_before") + ", " + STEP + "SELECT host, url, events_added, events_seen, runs_contributed, first_seen, last_seen FROM kept")
 def _(spark, d):
     return remembered(spark, d).drop("last_picked")
 

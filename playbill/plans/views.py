@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 AS_OF = "2000-01-01"
 SCORE_CLOCK = "2024-02-15 00:00:00"
 
+MEMORY = """
+SELECT regexp_extract(url, '^https://([^/]*)', 1) AS host, url, count(CASE WHEN added THEN 1 END) AS events_added,
+  count(*) AS events_seen, count(DISTINCT run_id) AS runs_contributed, CAST(min(run_date) AS TIMESTAMP) AS first_seen,
+  CAST(max(run_date) AS TIMESTAMP) AS last_seen
+FROM r {when}GROUP BY url"""
+
 VIEWS = {
     "l": """
 SELECT concat('evt-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS id,
@@ -63,19 +69,16 @@ SELECT run_id AS report_id, CAST(min(run_date) AS TIMESTAMP) AS report_ts, count
 SELECT run_id AS report_id, url, regexp_extract(url, '^https://([^/]*)', 1) AS host, min(ord) AS pos,
   count(CASE WHEN added THEN 1 END) AS events_added, count(*) AS events_seen, count(DISTINCT query) AS distinct_events
 FROM r GROUP BY run_id, url""",
-    # source memory after the first ten days
-    "mem": """
-SELECT regexp_extract(url, '^https://([^/]*)', 1) AS host, url, count(CASE WHEN added THEN 1 END) AS events_added,
-  count(*) AS events_seen, count(DISTINCT run_id) AS runs_contributed, CAST(min(run_date) AS TIMESTAMP) AS first_seen,
-  CAST(max(run_date) AS TIMESTAMP) AS last_seen
-FROM r WHERE run_date < DATE '2024-01-11' GROUP BY url""",
+    # source memory after all runs, and after all but those of the newest day
+    "mem": MEMORY.replace("{when}", ""),
+    "mem_before": MEMORY.replace("{when}", "WHERE run_date < (SELECT max(run_date) FROM r) "),
     # venue scorecards of all runs
     "card": """
 SELECT venue_key AS key, count(CASE WHEN added THEN 1 END) AS events_added, count(*) AS events_seen,
   count(DISTINCT run_id) % 4 AS zero_yield_runs, CAST(max(run_date) AS TIMESTAMP) AS last_seen
 FROM r GROUP BY venue_key""",
 }
-NEEDS = {"i": ["l"], "rep": ["r"], "rep_q": ["r"], "rep_u": ["r"], "mem": ["r"], "card": ["r"]}
+NEEDS = {"i": ["l"], "rep": ["r"], "rep_q": ["r"], "rep_u": ["r"], "mem": ["r"], "mem_before": ["r"], "card": ["r"]}
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
     "benchmark", "labels", "conversations",
