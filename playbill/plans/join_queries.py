@@ -79,12 +79,12 @@ def _(spark, d):
     return N.match_hosts(hosts, host_venues(spark, d))
 
 
-@query("venue_mentions", "J5", f"""WITH k AS (SELECT item_id, {S.core('substr(text, 1, 30)')} AS core FROM benchmark UNION SELECT item_id, {S.core('substr(text, 40, 12)')} FROM benchmark),
+@query("venue_mentions", "J5", f"""WITH k AS (SELECT DISTINCT item_id, {S.core('piece')} AS core FROM (SELECT item_id, unnest(string_split(text, '. ')) AS piece FROM benchmark)),
 t AS (SELECT doc_id, {S.collapse('text')} AS t FROM documents) SELECT DISTINCT doc_id AS row_id, item_id AS venue_id FROM t JOIN k ON length(core) >= 4 AND contains(t, core)""")
 def _(spark, d):
-    rows = X.table(spark, d, "benchmark").select(
-        F.col("item_id").alias("id"), F.substring("text", 1, 30).alias("name"), F.array(F.substring("text", 40, 12)).alias("aliases"), F.col("item_id").alias("ord")
-    )
+    # every sentence of a passage is a name of its item
+    sentences = F.split("text", r"\. ")
+    rows = X.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), sentences[0].alias("name"), sentences.alias("aliases"), F.col("item_id").alias("ord"))
     return N.mentions(X.table(spark, d, "documents"), rows, "text", "doc_id")
 
 
@@ -123,20 +123,30 @@ def _(spark, d):
 # Orphans and upkeep -------------------------------------------------------------------------
 
 
-@query("orphan_venues", "J11", X.ctes("l", "v") + "SELECT id, name FROM v WHERE id NOT IN (SELECT venue_id FROM l WHERE location > 'NATION_2')")
+# customers stand in for venues without a listing, pages for images that no listing shows
+PLACES = "places AS (SELECT id, name, last_event_date FROM v UNION ALL SELECT concat('c-', CAST(c_custkey AS VARCHAR)), c_name, NULL FROM customer)\n"
+
+
+def places(spark, d):
+    customers = X.table(spark, d, "customer").select(F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"))
+    return X.venues(spark, d).unionByName(customers, allowMissingColumns=True)
+
+
+@query("orphan_venues", "J11", X.ctes("l", "v") + ", " + PLACES + "SELECT id, name FROM places WHERE id NOT IN (SELECT venue_id FROM l)")
 def _(spark, d):
-    return N.orphans(X.venues(spark, d), X.listings(spark, d).filter("location > 'NATION_2'")).select("id", "name")
+    return N.orphans(places(spark, d), X.listings(spark, d)).select("id", "name")
 
 
-@query("kept_venues", "J11", X.ctes("l", "v") + "SELECT id, name FROM v WHERE id IN (SELECT venue_id FROM l WHERE location > 'NATION_2')")
+@query("kept_venues", "J11", X.ctes("l", "v") + ", " + PLACES + "SELECT id, name FROM places WHERE id IN (SELECT venue_id FROM l)")
 def _(spark, d):
-    return N.drop_orphans(X.venues(spark, d), X.listings(spark, d).filter("location > 'NATION_2'")).select("id", "name")
+    return N.drop_orphans(places(spark, d), X.listings(spark, d)).select("id", "name")
 
 
-@query("image_gc", "J12", X.ctes("l", "i") + ", " + X.EVENTS_WITH_IMAGES + f"SELECT id, source_url, id IN (SELECT image_id FROM ei WHERE image_id IS NOT NULL AND location > 'NATION_2' AND date > DATE '{X.AS_OF}' AND tags[1] = 'small') AS kept FROM i")
+@query("image_gc", "J12", X.ctes("l", "i") + ", " + X.EVENTS_WITH_IMAGES + """, every AS (SELECT id, source_url FROM i UNION ALL SELECT concat('page-', CAST(page_id AS VARCHAR)), url FROM pages)
+SELECT id, source_url, id IN (SELECT image_id FROM ei WHERE image_id IS NOT NULL) AS kept FROM every""")
 def _(spark, d):
-    images = X.images(spark, d)
-    active = X.events_with_images(spark, d).filter(f"location > 'NATION_2' and date > '{X.AS_OF}' and tags[0] = 'small'")
+    unused = X.table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("source_url"))
+    images, active = X.images(spark, d).unionByName(unused, allowMissingColumns=True), X.events_with_images(spark, d)
     kept = I.gc_images(images, active).withColumn("kept", F.lit(True))
     return kept.unionByName(I.dead_images(images, active).withColumn("kept", F.lit(False))).select("id", "source_url", "kept")
 

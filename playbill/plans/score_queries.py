@@ -11,6 +11,7 @@ from playbill.operators import scorecards as K
 from playbill.operators import venues as N
 from playbill.plans import sql as S
 from playbill.plans import views as X
+from playbill.plans.join_queries import PLACES, places
 from playbill.plans.registry import query
 
 # decisions of a merge, one per listing: every third order was already known
@@ -302,10 +303,10 @@ def _(spark, d):
     return N.linked_counts(X.listings(spark, d), wanted)
 
 
-@query("last_event_dates", "A2", X.ctes("l", "v") + """, m AS (SELECT venue_id, max(date) AS latest FROM l WHERE location > 'NATION_2' GROUP BY venue_id)
-SELECT id, coalesce(latest, last_event_date) AS last_event_date, latest IS NOT NULL AND latest IS DISTINCT FROM last_event_date AS changed FROM v LEFT JOIN m ON m.venue_id = id""")
+@query("last_event_dates", "A2", X.ctes("l", "v") + ", " + PLACES + """, m AS (SELECT venue_id, max(date) AS latest FROM l GROUP BY venue_id)
+SELECT id, coalesce(latest, last_event_date) AS last_event_date, latest IS NOT NULL AND latest IS DISTINCT FROM last_event_date AS changed FROM places LEFT JOIN m ON m.venue_id = id""")
 def _(spark, d):
-    return N.last_event_dates(X.listings(spark, d).filter("location > 'NATION_2'"), X.venues(spark, d)).select("id", "last_event_date", "changed")
+    return N.last_event_dates(X.listings(spark, d), places(spark, d)).select("id", "last_event_date", "changed")
 
 
 @query("added_aliases", "U6", X.ctes("v") + "SELECT id, array_to_string(aliases, '|') || CASE WHEN last_mined IS NULL THEN '' ELSE '|Hall of ' || name END AS aliases FROM v")
