@@ -23,7 +23,12 @@ def duck():
 def test_query(spark, duck, name):
     each = catalog.entries()[name]
     status, note, _ = check.compare(spark, duck, FOLDER, name, each.run, each.sql)
-    assert status in ("ok", "rows-only", "EMPTY"), note
+    assert status in (("ok", "EMPTY") if each.sql else ("rows-only",)), note
+
+
+def test_queries_without_sql():
+    """All others have a DuckDB text; these two are compared with cases told by hand in ``test_operators``."""
+    assert {name for name, each in catalog.entries().items() if not each.sql} == {"crawl_frontier", "discovered_venue_links"}
 
 
 def test_entry(spark):
