@@ -54,15 +54,17 @@ def working_folder(spark: SparkSession) -> str:
 _open = threading.local()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
-    The plan is computed a single time, survives the loss of executors, and later joins know its true size.
+    The plan is computed a single time, survives the loss of executors, and later joins know its true size. With ``outlive``, the table
+    stays when the innermost block of ``working_tables`` ends.
     """
     spark = df.sparkSession
     path = f"{working_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for scope in getattr(_open, "scopes", []):
+    scopes = getattr(_open, "scopes", [])
+    for scope in scopes[:-1] if outlive else scopes:
         scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
