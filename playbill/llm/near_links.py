@@ -1,11 +1,11 @@
-"""Links between similar sets: MinHash signatures, buckets, exact verification, and no pair twice.
+"""Links between similar sets: MinHash signatures, buckets, exact verification inside the bucket, and a forest of links.
 
 An item has a signature of 16-bit symbols, each the low bits of one minimum hash. ``slots`` name the groups of symbols of which one must be
 equal for two items to meet in a bucket. Buckets are not joined with themselves. First every member is held against the smallest
-member of its bucket, and verified links are merged to components. Where a bucket then still holds several components, members of different
-ones are compared by signature, block against block, first by the short one and then by a longer one. Each member is verified against the
-nearest member of another component, components are merged again, and only then all close pairs that are left are verified. So a bucket
-of copies costs a few pairs for each member, and no link between items of different components is lost.
+member of its bucket, and verified links are merged to components. Of buckets that then still hold several components, equal ones count once.
+Their members are compared by signature, block against block; those with a close partner in another component come again with their sets,
+and all close pairs are verified inside the block, where a union-find leaves out pairs that are connected by then. So a block emits fewer
+links than it has members, whatever the number of its pairs, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -22,17 +22,14 @@ from pyspark.sql.window import Window
 from playbill.llm.arrow import runs
 from playbill.llm.words import mix
 from playbill.operators.components import connected_components
-from playbill.session import cut_lineage
+from playbill.session import cut_lineage, working_tables
 
-#: members of a bucket that are compared at once
-BLOCK = 512
+#: members of a bucket that are compared at once, and the bytes of their sets, of which a larger one stands alone
+BLOCK, BLOCK_BYTES = 4096, 1 << 21
 #: bits of the filter that tells which rows of a table may be wanted; it has this size at any scale
 FILTER_BITS = 1 << 25
-
-
-#: symbols of one byte in the long signature, and the most in which linked items may differ: at a similarity of 0.8, 153 do on average,
-#: and more than 201 once in a hundred thousand times
-LONG, LONG_ERRORS = 768, 201
+#: low bits of a bucket key that name its slot
+SLOT_BITS = 8
 #: rows that are compared with a block at once; buckets up to SMALL members are compared many at a time, HELD rows together
 ROWS, SMALL, HELD = 128, 32, 8192
 
@@ -65,13 +62,13 @@ class Sketch:
         return minima(hashes, counts, self.symbols, 20).astype(np.uint16)
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
-        """One 64-bit bucket key for each row and slot."""
+        """One 64-bit bucket key for each row and slot, with the slot in its low bits."""
         out = np.empty((len(signatures), len(self.slots)), np.uint64)
         for s, members in enumerate(self.slots):
             h = np.full(len(signatures), s, np.uint64)
             for m in members:
                 h = h * np.uint64(0xD6E8FEB86659FD93) + signatures[:, m].astype(np.uint64) + np.uint64(1)
-            out[:, s] = mix(h)
+            out[:, s] = mix(h) >> np.uint64(SLOT_BITS) << np.uint64(SLOT_BITS) | np.uint64(s)
         return out.view(np.int64)
 
     def read(self, column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -107,57 +104,47 @@ def near_links(
     are those of all links.
     """
     of_key = Window.partitionBy("key")
-    met = bucket_keys(items, sketch).withColumns({"members": F.count("*").over(of_key), "leader": F.min("id").over(of_key)})
-    live = cut_lineage(met.filter("members > 1"))
-    sets = cut_lineage(sets_of(live.select("id").distinct()))
-    pairs = live.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    met_items = items.select("id", "n", "sig").join(live.select("id").distinct(), "id", "left_semi")
-    one, other = (met_items.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig")]) for x in "ab")
-    tested = cut_lineage(_close_pairs(pairs.join(one, F.col("a") == F.col("id_a")).join(other, F.col("b") == F.col("id_b")), sketch, share))
-    links = cut_lineage(linked_pairs(tested, sets, share, hashes_of))
-    wanted = None
-    for nearest in (True, False):
-        blocks = cut_lineage(_open_blocks(live.select("key", "id"), connected_components(links, "a", "b")))
-        if wanted is None:  # what is open later is open now
-            some = sets.join(blocks.select("id").distinct(), "id", "left_semi")
-            wanted = cut_lineage(_long_signatures(some, hashes_of).join(items.select("id", "n", "sig"), "id"))
-        found = _cross_pairs(blocks.join(wanted, "id"), sketch, share, nearest)
-        cross = cut_lineage(found.join(tested, ["a", "b"], "left_anti"))
-        links = cut_lineage(links.union(linked_pairs(cross, sets, share, hashes_of)))
-        tested = tested.union(cross)
-    return links
-
-
-def _long_signatures(sets: DataFrame, hashes_of: Callable) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = minima(*hashes_of(part.column(1).to_pylist()), LONG, 21).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in found], pa.binary())], ["id", "long"])
-
-    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.select("id", "members").repartition(tasks, "id").mapInArrow(run, "id long, long binary")
-
-
-def _open_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components, once for every pair of blocks that they take part in."""
+    with working_tables(items.sparkSession):
+        met = bucket_keys(items, sketch).withColumns({"members": F.count("*").over(of_key), "leader": F.min("id").over(of_key)})
+        live = cut_lineage(met.filter("members > 1"))
+        sets = cut_lineage(sets_of(live.select("id").distinct()).withColumn("bytes", F.octet_length("members")))
+        pairs = live.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        met_items = items.select("id", "n", "sig").join(live.select("id").distinct(), "id", "left_semi")
+        one, other = (met_items.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig")]) for x in "ab")
+        near = _close_pairs(pairs.join(one, F.col("a") == F.col("id_a")).join(other, F.col("b") == F.col("id_b")), sketch, share)
+        links = cut_lineage(linked_pairs(near, sets, share, hashes_of))
+        blocks = _open_blocks(live.select("key", "id"), connected_components(links, "a", "b"), sets.select("id", "bytes"))
+        compared = _compare(blocks.join(items.select("id", "n", "sig"), "id"), sketch, share)
+        cross = _compare(cut_lineage(compared).join(sets.select("id", "members"), "id"), sketch, share, hashes_of)
+        return cut_lineage(links.union(cross), outlive=True)
+
+
+def _open_blocks(rows: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, once for every pair of blocks that they take part in.
+
+    Of buckets with the same members, the one of the lowest slot stays; it is where pairs are looked at that meet in all of them.
+    """
     of_key = Window.partitionBy("key")
     named = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    spread = named.withColumns({"low": F.min("label").over(of_key), "high": F.max("label").over(of_key), "members": F.count("*").over(of_key)})
-    place = F.row_number().over(of_key.orderBy("label", "id")) - 1
-    blocked = spread.filter("low <> high").withColumns({"block": F.floor(place / BLOCK), "blocks": F.ceil(F.col("members") / BLOCK)})
-    blocked = blocked.select("key", "id", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("against"))
+    spread = named.withColumns({
+        "low": F.min("label").over(of_key), "high": F.max("label").over(of_key), "members": F.count("*").over(of_key),
+        "first": F.min("id").over(of_key), "print": F.sum(F.xxhash64("id").cast("decimal(20,0)")).over(of_key),
+    })
+    several = cut_lineage(spread.filter("low <> high").drop("low", "high"))
+    slot = F.col("key").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    once = several.filter("id = first").groupBy("first", "members", "print").agg(F.min_by("key", slot).alias("key")).select("key")
+    placed = several.join(once, "key", "left_semi").select("key", "id", "label").join(sizes, "id")
+    order = of_key.orderBy("label", "id")
+    filled = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK) + F.floor(filled / BLOCK_BYTES))
+    blocked = placed.withColumn("last", F.max("block").over(of_key))
+    blocked = blocked.select("key", "id", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("against"))
     return blocked.select(
         "key", "id", "label", F.least("block", "against").alias("one"), F.greatest("block", "against").alias("other"),
         (F.col("block") <= F.col("against")).alias("left_side"), (F.col("block") >= F.col("against")).alias("right_side"),
     )
 
 
-def _long(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, LONG)
-
-
 def _close_pairs(pairs: DataFrame, sketch: Sketch, share: int) -> DataFrame:
     """Pairs whose signatures and sizes allow a link."""
 
@@ -174,61 +161,93 @@ def _close_pairs(pairs: DataFrame, sketch: Sketch, share: int) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "n_a", "sig_b", "n_b").mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(rows: DataFrame, sketch: Sketch, share: int, nearest: bool) -> DataFrame:
-    """Close pairs of different components from block pairs. A pair is given by the first bucket that both are in.
-
-    ``nearest``: for each member, only the closest one of a bucket, and that only if the signatures speak for a link.
+class Forest:
+    """Exact verification of pairs of rows of one table, with a union-find that skips what is connected already."""
+
+    def __init__(self, table: pa.Table, share: int, hashes_of: Callable) -> None:
+        self.ids, self.share = table.column("id").to_numpy(), share
+        self.root = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        hashes, counts = hashes_of(table.column("members").to_pylist())
+        codes = np.unique(hashes, return_inverse=True)[1]
+        self.mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        both = np.unique(np.repeat(np.arange(len(counts)), counts) * len(self.mark) + codes)
+        self.codes, owner = both % len(self.mark), both // len(self.mark)
+        self.counts = np.bincount(owner, minlength=len(counts))
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.found: list[tuple[int, int]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Verify pairs; those that connect two components are added to ``found``."""
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        cuts = np.flatnonzero(np.diff(i, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(i)]):
+            row, others = i[a], j[a:b]
+            others = others[self.root[others] != self.root[row]]
+            if len(others):
+                for other in others[self._linked(row, others)].tolist():
+                    if self.root[other] != self.root[row]:
+                        self.root[self.root == self.root[other]] = self.root[row]
+                        one, two = int(self.ids[row]), int(self.ids[other])
+                        self.found.append((min(one, two), max(one, two)))
+
+    def _linked(self, row: int, others: np.ndarray) -> np.ndarray:
+        own = self.codes[self.starts[row] : self.starts[row] + self.counts[row]]
+        sizes = self.counts[others]
+        of = np.repeat(np.arange(len(others)), sizes)
+        spots = np.arange(len(of)) + np.repeat(self.starts[others] - np.cumsum(sizes) + sizes, sizes)
+        self.mark[own] = True
+        both = np.bincount(of[self.mark[self.codes[spots]]], minlength=len(others))
+        self.mark[own] = False
+        return 100 * both >= self.share * (len(own) + sizes - both)
+
+
+def _compare(rows: DataFrame, sketch: Sketch, share: int, hashes_of: Callable | None = None) -> DataFrame:
+    """Rows of blocks that have a close partner of another component; with ``hashes_of``, the links between components.
+
+    A pair is looked at in the first bucket that both are in. Rows of links come with their sets in ``members``.
     """
 
-    def chosen(ids: np.ndarray, sig: np.ndarray, long: np.ndarray, i: np.ndarray, j: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of close pairs by the short signature, those that are new in this slot and close by the long one."""
-        new = np.ones(len(i), bool)
-        for s, members in enumerate(sketch.slots):  # met before in an earlier slot
-            late = np.flatnonzero(new & (slot > s))
+    def new(sig: np.ndarray, i: np.ndarray, j: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Pairs that have not met in an earlier slot."""
+        out = np.ones(len(i), bool)
+        for s, members in enumerate(sketch.slots):
+            late = np.flatnonzero(out & (slot > s))
             if len(late):
-                new[late] = (sig[i[late]][:, list(members)] != sig[j[late]][:, list(members)]).any(1)
-        i, j = i[new], j[new]
-        apart = np.concatenate([(long[i[k : k + 4096]] != long[j[k : k + 4096]]).sum(1) for k in range(0, len(i), 4096)] or [i])
-        near = apart <= (LONG * (100 - share) // 100 if nearest else LONG_ERRORS)
-        i, j, apart = i[near], j[near], apart[near]
-        if nearest and len(i):
-            order = np.lexsort((ids[j], apart, i))
-            first = order[np.concatenate([[True], np.diff(i[order]) != 0])]
-            i, j = i[first], j[first]
-        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                out[late] = (sig[i[late]][:, list(members)] != sig[j[late]][:, list(members)]).any(1)
+        return out
 
     def read(table: pa.Table) -> list[np.ndarray]:
-        return [table.column(c).to_numpy() for c in ("id", "label", "n", "left_side", "right_side")] + [sketch.read(table.column("sig"))]
-
-    def slots_of(table: pa.Table, sig: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        """The slot of each bucket: the one whose key of the first member is the bucket's."""
-        return (sketch.keys(sig[firsts]) == table.column("key").to_numpy()[firsts][:, None]).argmax(1)
+        slot = table.column("key").to_numpy() & ((1 << SLOT_BITS) - 1)
+        return [table.column(c).to_numpy() for c in ("label", "n", "left_side", "right_side")] + [sketch.read(table.column("sig")), slot]
 
     def one_bucket(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, labels, n, left, right, sig = read(table)
+        labels, n, left, right, sig, slot = read(table)
         if labels.min() == labels.max():
             return
-        long, slot = _long(table.column("long")), slots_of(table, sig, np.zeros(1, np.int64))[0]
+        alone = bool((left & right).all())  # a block with itself
         left, right = np.flatnonzero(left), np.flatnonzero(right)
         columns = np.ascontiguousarray(sig[right].T)
         for at in range(0, len(left), ROWS):
             some = left[at : at + ROWS]
             fits = labels[some][:, None] != labels[right][None, :]
             fits &= 100 * np.minimum(n[some][:, None], n[right][None, :]) >= share * np.maximum(n[some][:, None], n[right][None, :])
+            if alone:
+                fits &= some[:, None] < right[None, :]
             if fits.any():
                 errors = np.zeros(fits.shape, np.uint8)
                 for s, column in enumerate(columns):
                     errors += sig[some, s][:, None] != column[None, :]
                 i, j = np.nonzero(fits & (errors <= sketch.most_errors))
-                yield chosen(ids, sig, long, some[i], right[j], np.full(len(i), slot))
+                i, j = some[i], right[j]
+                fresh = new(sig, i, j, slot[i])
+                yield i[fresh], j[fresh]
 
-    def small_buckets(tables: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+    def small_buckets(table: pa.Table, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Many small buckets at once: every row with the one ``d`` rows further on, for all ``d``."""
-        table, sizes = pa.concat_tables(tables), np.array([t.num_rows for t in tables])
-        ids, labels, n, left, right, sig = read(table)
+        labels, n, left, right, sig, slot = read(table)
         bucket = np.repeat(np.arange(len(sizes)), sizes)
-        slot = slots_of(table, sig, np.cumsum(sizes) - sizes)
-        found = []
+        found = [(bucket[:0], bucket[:0])]
         for d in range(1, int(sizes.max())):
             i = np.flatnonzero(bucket[:-d] == bucket[d:])
             j = i + d
@@ -237,35 +256,48 @@ def _cross_pairs(rows: DataFrame, sketch: Sketch, share: int, nearest: bool) ->
             i, j = i[fits], j[fits]
             close = (sig[i] != sig[j]).sum(1) <= sketch.most_errors
             found.append((i[close], j[close]))
-        i, j = (np.concatenate(f) for f in zip(*found)) if found else (bucket[:0], bucket[:0])
-        i, j = np.concatenate([i, j]), np.concatenate([j, i])
-        a, b = chosen(ids, sig, _long(table.column("long")), i, j, slot[bucket[i]])
-        both = np.unique(np.stack([a, b]), axis=1)
-        return both[0], both[1]
-
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held, rows = [], 0
+        i, j = (np.concatenate(f) for f in zip(*found))
+        fresh = new(sig, i, j, slot[i])
+        return i[fresh], j[fresh]
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+        """Tables with the close pairs of their rows: one large bucket, or many small ones."""
+        held: list[pa.Table] = []
+        rows = size = 0
+        both = lambda: (pa.concat_tables(held), iter([small_buckets(pa.concat_tables(held), np.array([t.num_rows for t in held]))]))
         for table in runs(batches, ["key", "one", "other"]):
             if table.num_rows > SMALL:
-                yield from one_bucket(table)
+                yield table, one_bucket(table)
                 continue
             held.append(table)
             rows += table.num_rows
-            if rows >= HELD:
-                yield small_buckets(held)
-                held, rows = [], 0
+            size += sum(len(m.as_buffer()) for m in table.column("members")) if hashes_of else 0
+            if rows >= HELD or size >= BLOCK_BYTES:
+                yield both()
+                held, rows, size = [], 0, 0
         if held:
-            yield small_buckets(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b in pairs_of(batches):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield both()
+
+    def in_doubt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, pairs in groups(batches):
+            keep = np.zeros(table.num_rows, bool)
+            for i, j in pairs:
+                keep[i] = keep[j] = True
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, pairs in groups(batches):
+            forest = Forest(table, share, hashes_of)
+            for i, j in pairs:
+                forest.add(i, j)
+            a, b = zip(*forest.found) if forest.found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     # little data and much work: as many tasks as there are shuffle partitions, not as the bytes would ask for
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.select("key", "one", "other", "id", "label", "n", "sig", "long", "left_side", "right_side").repartition(tasks, "key", "one", "other")
-    return ordered.sortWithinPartitions("key", "one", "other").mapInArrow(run, "a long, b long").distinct()
+    taken = rows.select("key", "one", "other", "id", "label", "n", "sig", "left_side", "right_side", *(["members"] if hashes_of else []))
+    ordered = taken.repartition(tasks, "key", "one", "other").sortWithinPartitions("key", "one", "other")
+    return ordered.mapInArrow(links, "a long, b long").distinct() if hashes_of else ordered.mapInArrow(in_doubt, taken.schema)
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, share: int, hashes_of: Callable) -> DataFrame:
