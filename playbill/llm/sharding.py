@@ -16,8 +16,10 @@ from pyspark.sql.window import Window
 from playbill.session import cut_lineage
 
 VIRTUAL_NODES = 128
-#: rows of one arc are ranked in so many parts, so many equal keys do not meet in one task
+#: rows of one arc are ranked in so many parts, told by their keys
 PARTS = 64
+#: repeated rows are one row with a count, written out again in pieces of so many
+COPIES = 1 << 16
 
 
 def ring(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
@@ -73,10 +75,11 @@ def overflow(counts: list[int], owners: list[int], room: list[int]) -> list[tupl
 def assign(docs: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, slack: float = 0.0) -> DataFrame:
     """Shard and slot of every row: ``doc_id``, ``size`` (UTF-8 bytes and 16 more), ``text_crc32``, ``shard``, ``slot``.
 
-    A row's point comes from its id and text, so repeated rows share a point and follow each other; a null id or text is a value of
-    its own. No shard gets more than its capacity: with ``slack`` that is so much more than the mean, without it all shards are full and
-    counts differ by one at most. Slots of a shard count from 0 without gaps. Other columns are not looked at; an empty table gives an
-    empty table. The driver holds one count for each virtual node, whatever the number of rows.
+    A row's point comes from its id and text; rows of an arc are ranked by key, id and text checksum, so the assignment does not depend
+    on how the table is laid out or which task is run again. Repeated rows are counted before anything is shuffled by arc and follow
+    each other; a null id or text is a value of its own. No shard gets more than its capacity: with ``slack`` that is so much more than
+    the mean, without it all shards are full and counts differ by one at most. Slots of a shard count from 0 without gaps. Other columns
+    are not looked at; an empty table gives an empty table. The driver holds one count for each virtual node, whatever the number of rows.
     """
     nodes = ring(shards, virtual_nodes)
     points, owners = [p for p, _ in nodes], [s for _, s in nodes]
@@ -84,18 +87,23 @@ def assign(docs: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, sla
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("key"),
-    ).withColumns({"point": F.shiftrightunsigned("key", 1), "part": F.pmod(F.spark_partition_id(), F.lit(PARTS))})
-    slim = cut_lineage(_with_arcs(slim.drop("key"), points))
-    counts = slim.groupBy("arc", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("arc", "part", before.alias("before"))
+    )
+    values = ["key", "doc_id", "size", "text_crc32"]
+    slim = slim.groupBy(*values).agg(F.count("*").alias("n"))
+    slim = slim.withColumns({"point": F.shiftrightunsigned("key", 1), "part": F.pmod("key", F.lit(PARTS))})
+    slim = cut_lineage(_with_arcs(slim, points))
+    counts = slim.groupBy("arc", "part").agg(F.sum("n").alias("n"))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("arc", "part", so_far(Window.partitionBy("arc").orderBy("part")).alias("before"))
     by_arc = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     loads = [by_arc.get(i, 0) for i in range(len(nodes))]
     pieces = overflow(loads, owners, capacities(sum(loads), shards, slack))
     table = docs.sparkSession.createDataFrame(pieces, "arc int, first long, stop long, shard int, slot long")
-    order = Window.partitionBy("arc", "part").orderBy("point", "doc_id", "text_crc32")
-    ranked = slim.withColumn("nth", F.row_number().over(order) - 1).join(offsets, ["arc", "part"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth"))
+    nth = so_far(Window.partitionBy("arc", "part").orderBy(*values))
+    ranked = slim.withColumn("nth", nth).join(offsets, ["arc", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    pieces_of = ranked.withColumn("copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    every = F.sequence("copies", F.least(F.col("copies") + COPIES, "n") - 1)
+    ranked = pieces_of.repartition("key", "copies").withColumn("copy", F.explode(every)).withColumn("rank", F.col("rank") + F.col("copy"))
     placed = ranked.join(F.broadcast(table), "arc").filter("rank >= first and rank < stop")
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("rank") - F.col("first")).cast("long").alias("slot"))
 
