@@ -304,16 +304,19 @@ def scan_sql() -> str:
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
     anchors = "|".join(ANCHORS)
     pattern = "(" + "|".join(" ".join(f"{i}@[0-9.]*" for i in rule.split()) for rule, _ in RULES) + ")( |$)"
-    names = lambda text: f"""list_filter(list_transform(list_filter(list_transform(
-        string_split(regexp_replace({text}, '{BREAK}', '\\1' || chr(10), 'g'), chr(10)),
-        lambda s: trim(regexp_replace({lower("s")}, '[^0-9a-z]+', ' ', 'g'))), lambda s: regexp_matches(s, '{anchors}')),
-        lambda s: {known}[regexp_replace(s, '{VERSION}', '\\1#\\4', 'g')] || '@' || replace(regexp_extract(s, '{VERSION}', 2), ' ', '.')),
-        lambda s: s IS NOT NULL)"""
+    key = f"regexp_replace(w, '{VERSION}', '\\1#\\4', 'g')"
+    version = f"replace(regexp_extract(w, '{VERSION}', 2), ' ', '.')"
+    words = "trim(regexp_replace(regexp_replace({}, '" + LATER + "', '\\1 or later', 'g'), '[^0-9a-z]+', ' ', 'g'))"
+    named = lambda sentences: f"""list_transform(list_transform({sentences}, lambda s: {words.format("s")}), lambda w: {known}[{key}] || '@' || {version})"""
+    by_line = f"list_filter({named(f"""list_filter(string_split(p, chr(10)), lambda l: regexp_matches(l, '{anchors}'))""")}, lambda i: i IS NOT NULL)"
     return f"""
-    WITH named AS (
-      SELECT doc_id, {names("coalesce(text, '')")} AS a, {names(f"replace(regexp_replace(coalesce(text, ''), '{WRAP_BREAK}', '. ', 'g'), chr(10), ' ')")} AS b FROM documents
+    WITH low AS (
+      SELECT doc_id, replace({lower("coalesce(text, '')")}, chr(1), ',') AS t FROM documents
+    ), cut AS (
+      SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(t, '{WRAP_BREAK}', chr(1), 'g'), '{BREAK}', '\\1' || chr(1), 'g'), chr(1)),
+        lambda p: regexp_matches(p, '{anchors}')) AS passages FROM low
     ), chosen AS (
-      SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM named
+      SELECT doc_id, flatten(list_transform(passages, lambda p: CASE WHEN ({named("[p]")})[1] IS NOT NULL THEN {named("[p]")} ELSE {by_line} END)) AS ids FROM cut
     ), matched AS (
       SELECT doc_id, ids, list_transform(regexp_extract_all(array_to_string(ids, ' '), '{pattern}', 1), lambda m:
         replace({rules}[regexp_replace(m, '@[0-9.]*', '', 'g')], '#', regexp_extract(m, '@([0-9.]+)', 1))) AS names FROM chosen
