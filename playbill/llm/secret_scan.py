@@ -1,14 +1,18 @@
 """Secret scans: keywords find where to look, anchored patterns decide, embedded checksums confirm.
 
 One Aho-Corasick pass over the lower-cased text gives all keyword hits. Only there the pattern of the keyword's kind is tried,
-anchored at the hit. Kinds that carry a checksum (access tokens of code hosts and package registries, wallet keys) count only if it
-is right. Runs of hex digits have no keyword; every run long enough covers a character at a multiple of its least length, so only
+anchored at the hit. Kinds that carry a checksum (access tokens of code hosts and package registries, wallet keys, card numbers) count only
+if it is right, and kinds with a structure (signed web tokens, private key blocks) only if they decode to it. Keys of payment and chat
+services carry neither and are told by their prefix and length. Runs of hex digits have no keyword; every run long enough covers a character at a multiple of its least length, so only
 those characters are looked at.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,16 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playbill.llm.arrow import text_list
+from playbill.llm.arrow import parts, text_list
 
 # Keywords and patterns of the kinds, in the order in which spans with one start are listed.
-KINDS = ("assign", "access", "hex", "host_token", "registry_token", "wallet_key")
+KINDS = ("assign", "access", "hex", "host_token", "registry_token", "wallet_key", "web_token", "key_block", "card", "payment_key", "chat_token")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
     "host_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),
     "registry_token": ("npm_",),
     "wallet_key": ("xprv",),
+    "web_token": ("eyj",),
+    "key_block": ("-----begin ",),
+    "card": ("card",),
+    "payment_key": ("sk_live_", "rk_live_"),
+    "chat_token": ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),
 }
 PATTERNS = {
     "assign": re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII),
@@ -36,6 +45,11 @@ PATTERNS = {
     "host_token": re.compile(r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     "registry_token": re.compile(r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     "wallet_key": re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![0-9A-Za-z])"),
+    "web_token": re.compile(r"(?<![0-9A-Za-z_-])(eyJ[0-9A-Za-z_-]+)\.(eyJ[0-9A-Za-z_-]+)\.[0-9A-Za-z_-]+"),
+    "key_block": re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([0-9A-Za-z+/=\s]+)-----END \1-----", re.ASCII),
+    "card": re.compile(r"(?i:card)[^0-9\n]{0,20}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.ASCII),
+    "payment_key": re.compile(r"[sr]k_live_[0-9A-Za-z]{24,}"),
+    "chat_token": re.compile(r"xox[abprs]-[0-9]{8,}-[0-9A-Za-z-]{16,}"),
 }
 BASE_62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE_58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -63,12 +77,47 @@ def base58_key(token: str) -> bool:
     return len(raw) == 82 and hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
 
 
+def luhn(number: str) -> bool:
+    """The last digit of a card number makes the weighted sum of its digits a multiple of ten; a number of one digit only is none."""
+    digits = [int(c) for c in reversed(number) if c.isdigit()]
+    return len(set(digits)) > 1 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def web_token(header: str, claims: str) -> bool:
+    """Header and claims are JSON objects, and the header names its algorithm."""
+    try:
+        head, body = (json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))) for part in (header, claims))
+    except (binascii.Error, ValueError, RecursionError):
+        return False
+    return isinstance(head, dict) and isinstance(body, dict) and "alg" in head
+
+
+def key_block(label: str, body: str) -> bool:
+    """The body is one DER sequence of exactly the length it states, or the container of its own that a key tool writes."""
+    try:
+        raw = base64.b64decode("".join(body.split()), validate=True)
+    except (binascii.Error, ValueError):
+        return False
+    if label == "OPENSSH PRIVATE KEY":
+        return raw.startswith(b"openssh-key-v1\0")
+    if len(raw) < 2 or raw[0] != 0x30:
+        return False
+    more = raw[1] - 0x80 if raw[1] > 0x80 else 0
+    size = int.from_bytes(raw[2 : 2 + more], "big") if more else raw[1]
+    return size > 0 and len(raw) == 2 + more + size
+
+
 CHECKS = {
     "assign": lambda m: len(m[1]) >= LEAST_VALUE,
     "access": lambda m: len(m[0]) >= LEAST_ACCESS,
     "host_token": lambda m: crc_token(m[0]),
     "registry_token": lambda m: crc_token(m[0]),
     "wallet_key": lambda m: base58_key(m[0]),
+    "web_token": lambda m: web_token(m[1], m[2]),
+    "key_block": lambda m: key_block(m[1], m[2]),
+    "card": lambda m: luhn(m[1]),
+    "payment_key": lambda m: True,
+    "chat_token": lambda m: True,
 }
 
 
@@ -127,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = keyword_automaton()
-        for batch in batches:
+        for batch in parts(batches):
             found = [
                 [{"kind": k, "start": a, "end": b, "value": text[a:b]} for a, b, k in scan_text(text, automaton)]
                 for text in text_list(batch.column(1))
@@ -139,11 +188,15 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """All columns of ``docs`` with every secret in ``text`` replaced by ``mark``. Overlapping secrets are replaced as one."""
+    """All columns of ``docs`` with every secret in ``text`` replaced by ``mark``. Overlapping secrets are replaced as one.
+
+    A null or empty text stays as it is, whole long texts are read, repeated rows and null ids are rows like any other, and an empty table
+    gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = keyword_automaton()
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index("text")
             out = []
             for text in batch.column(at).to_pylist():
