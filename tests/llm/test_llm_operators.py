@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -276,6 +279,31 @@ def test_checksums_decide(spark):
     assert clean[0]["text"] == f"see [secret] and {bad} and [secret]" and clean[1]["text"] is None and clean[2]["text"] == "plain"
 
 
+def web_token(header, claims):
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    return f"{part(header)}.{part(claims)}.sig-nature_1"
+
+
+def test_structure_decides():
+    body = random.Random(2).randbytes(256)
+    block = lambda raw, name="RSA PRIVATE KEY": f"-----BEGIN {name}-----\n{base64.encodebytes(raw).decode()}-----END {name}-----"
+    good = [
+        ("web_token", web_token({"alg": "HS256"}, {"sub": "x"})), ("key_block", block(b"\x30\x82\x01\x00" + body)),
+        ("key_block", block(b"openssh-key-v1\0" + body, "OPENSSH PRIVATE KEY")), ("card", "card no. 4111 1111 1111 1111"), ("card", "Card: 5500-0000-0000-0004"),
+        ("payment_key", "sk_live_" + "Zz9" * 8), ("chat_token", "xoxb-1234567890-" + "Zz" * 10),
+    ]
+    bad = [
+        web_token({"typ": "JWT"}, {"sub": "x"}), "eyJhbGci.eyJzdWIi.sig", "x" + good[0][1], block(b"\x30\x82\x01\x01" + body), block(b""), block(b"\x30\x80"),
+        "-----BEGIN PRIVATE KEY-----", "card no. 4111 1111 1111 1112", "card 0000 0000 0000 0000", "order 4111 1111 1111 1111", "sk_live_short", "xoxb-1-2",
+        "eyJ" * 30_000, "-----BEGIN PRIVATE KEY-----" * 5_000,
+    ]
+    automaton = secret_scan.keyword_automaton()
+    for kind, text in good:
+        assert [k for a, b, k in secret_scan.scan_text(f"é {text} .", automaton) if (a, b) == (2, 2 + len(text))] == [kind]
+    new = {"web_token", "key_block", "card", "payment_key", "chat_token"}
+    assert not [t for t in bad for *_, k in secret_scan.scan_text(t, automaton) if k in new]
+
+
 # 3: quality
 
 
@@ -420,6 +448,19 @@ def test_licences_of_mixed_layouts(spark):
     }
 
 
+def test_licence_sql_reads_mixed_layouts_alike(spark):
+    draw = random.Random(8)
+    sentences = [v.replace("#", "2.0") for v in licenses.SENTENCES.values()]
+    joins = [" ", "\n", "\n\n", ".\n", ":\n", "+\n", "\x01", "\nplain words\n"]
+    wrap = lambda t: t.replace(" the ", " the\n") if draw.random() < 0.5 else t
+    texts = [(i, "".join(wrap(draw.choice(sentences)) + draw.choice(joins) for _ in range(draw.randint(1, 6)))) for i in range(300)]
+    texts += [(300, None), (301, ""), (302, "// SPDX-License-Identifier: GPL-2.0+\n"), (303, "Licensed under CC BY 4.0\nby the authors\n\n" + sentences[0])]
+    documents = pd.DataFrame(texts, columns=["doc_id", "text"])  # noqa: F841 (the SQL reads it)
+    want = sorted(duckdb.sql(f"select doc_id, n_sentences, sentence_ids, licenses, license from ({licenses.scan_sql()})").fetchall())
+    found = licenses.scan(make(spark, texts)).select("doc_id", "n_sentences", "sentence_ids", "licenses", "license").collect()
+    assert sorted(map(tuple, found)) == want
+
+
 def test_common_licences_are_known(spark):
     grant = "free software: you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     bsd = "\n".join(licenses.SENTENCES[k] for k in ("bsd_grant", "bsd_source", "bsd_binary", "bsd_names", "bsd_as_is"))
@@ -457,8 +498,14 @@ def test_shards_are_full_and_gapless(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     want = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts)
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == want
-    again = {(r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.assign(make(spark, texts[::-1]), 7).collect()}
-    assert len(again) == len(texts)
+
+
+def test_shards_do_not_depend_on_the_layout(spark, monkeypatch):
+    texts = [*awkward(), *[(5, "same row")] * 90, *[(None, None)] * 40, *[(i, f"row {i}") for i in range(1000, 1100)]]
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    place = lambda rows, parts: collected(sharding.assign(make(spark, rows).repartition(parts), 7))
+    want = place(texts, 1)
+    assert len(want) == len(texts) and place(texts[::-1], 5) == want and place(texts, 3) == want
 
 
 def test_another_shard_moves_little(spark):
