@@ -69,6 +69,14 @@ def cut_lineage(df: DataFrame, outlive: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are stored by now.
+
+    Executors delete them when the driver's collector finds the plan dead, which otherwise happens at long intervals only.
+    """
+    spark._jvm.System.gc()
+
+
 def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut_lineage`` with the number of rows, which the pass that writes them counts."""
     seen = Observation()
