@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from playbill.llm.near_links import Sketch, may_be_wanted, near_links, wanted_filter
 from playbill.llm.words import fold
 from playbill.operators.components import connected_components
-from playbill.session import cut_lineage
+from playbill.session import cut_lineage, release_shuffles
 
 #: characters of a shingle; a shorter line is one shingle
 SHINGLE = 5
@@ -74,7 +74,7 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, shingle: int) -> DataFrame:
-    """One row for each distinct normal line: digest, number of lines, signature and the place of the first of them."""
+    """One row for each distinct normal line: digest, number of lines, bytes, signature and the place of the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,18 +90,20 @@ def line_classes(docs: DataFrame, shingle: int) -> DataFrame:
                 at = pa.array([g[1] for g in group], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(at), keys.take(at), pa.array([g[2] for g in group], pa.int64()),
-                     pa.array([hashlib.md5(g[0]).digest() for g in group], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    ["doc_id", "text_key", "line", "digest", "sig"],
+                     pa.array([hashlib.md5(g[0]).digest() for g in group], pa.binary()), pa.array([len(g[0]) for g in group], pa.int64()),
+                     pa.array([s.tobytes() for s in sig], pa.binary())],
+                    ["doc_id", "text_key", "line", "digest", "bytes", "sig"],
                 )
 
-    lines = _docs(docs).mapInArrow(run, "doc_id long, text_key long, line long, digest binary, sig binary")
+    lines = _docs(docs).mapInArrow(run, "doc_id long, text_key long, line long, digest binary, bytes long, sig binary")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "line")
-    return lines.groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("lines"), F.first("sig").alias("sig"))
+    return lines.groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("lines"), F.first("bytes").alias("bytes"), F.first("sig").alias("sig"))
 
 
 def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> DataFrame:
     """``doc_id``, ``text_key`` and the numbers of the lines that go (``lines``), for every document that loses any."""
     classes = cut_lineage(line_classes(docs, shingle).withColumn("id", F.monotonically_increasing_id()))  # stored, so the ids stay
+    release_shuffles(docs.sparkSession)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = cut_lineage(classes.select("id", "digest", F.xxhash64("digest").alias("spot")).join(ids, "id", "left_semi"))
@@ -120,7 +122,8 @@ def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> D
         found = found.groupBy("digest").agg(F.first("members").alias("members"))
         return found.join(wanted, "digest").select("id", "members")
 
-    links = near_links(classes.select("id", F.lit(1).cast("long").alias("n"), "sig"), SKETCH, sets_of, share, lambda lines: line_hashes(lines, shingle))
+    items = classes.select("id", F.lit(1).cast("long").alias("n"), "bytes", "sig")
+    links = near_links(items, SKETCH, sets_of, share, lambda lines: line_hashes(lines, shingle))
     labels = cut_lineage(connected_components(links, "a", "b").select(F.col("node").alias("id"), "label"))
     roots = classes.join(labels, "id").groupBy("label").agg(F.min("place").alias("root"))
     linked = labels.join(roots, "label").select("id", "root")

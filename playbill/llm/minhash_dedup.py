@@ -95,7 +95,7 @@ def components(docs: DataFrame, width: int, share: int = 80) -> DataFrame:
         found = texts.mapInArrow(run, "digest binary, members binary").groupBy("digest").agg(F.first("members").alias("members"))
         return found.join(wanted, "digest").select("id", "members")
 
-    links = near_links(classes.select("id", "n", "sig"), SKETCH, sets_of, share)
+    links = near_links(classes.select("id", "n", (8 * F.col("n")).alias("bytes"), "sig"), SKETCH, sets_of, share)
     labels = cut_lineage(connected_components(links, "a", "b").select(F.col("node").alias("id"), "label"))
     roots = classes.join(labels, "id").groupBy("label").agg(F.min("place").alias("root"))
     linked = labels.join(roots, "label").select("id", F.col("root"))

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from playbill.llm.arrow import runs
 from playbill.llm.words import mix
 from playbill.operators.components import connected_components
-from playbill.session import cut_lineage, working_tables
+from playbill.session import cut_lineage, release_shuffles, working_tables
 
 #: members of a bucket that are compared at once, and the bytes of their sets, of which a larger one stands alone
 BLOCK, BLOCK_BYTES = 4096, 1 << 21
@@ -99,24 +99,34 @@ def near_links(
 ) -> DataFrame:
     """Links ``a``, ``b`` that connect all items whose similarity is ``share`` percent or more, where their signatures show it.
 
-    ``items`` has ``id``, ``n`` (set size) and ``sig`` and is stored, so it can be read again. ``sets_of`` takes a table of ids and gives
-    ``id`` and ``members``, which ``hashes_of`` turns into 64-bit hashes. Not every link inside a component is listed, but the components
-    are those of all links.
+    ``items`` has ``id``, ``n`` (set size, or 1 for all), ``bytes`` (of the set as stored) and ``sig`` and is stored, so it can be read again.
+    ``sets_of`` takes a table of ids and gives ``id`` and ``members``, which ``hashes_of`` turns into 64-bit hashes; sets are fetched only for
+    items whose signature is close to another's. Not every link inside a component is listed, but the components are those of all links.
     """
     of_key = Window.partitionBy("key")
-    with working_tables(items.sparkSession):
+    spark = items.sparkSession
+    with working_tables(spark):
         met = bucket_keys(items, sketch).withColumns({"members": F.count("*").over(of_key), "leader": F.min("id").over(of_key)})
         live = cut_lineage(met.filter("members > 1"))
-        sets = cut_lineage(sets_of(live.select("id").distinct()).withColumn("bytes", F.octet_length("members")))
+        release_shuffles(spark)
         pairs = live.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        met_items = items.select("id", "n", "sig").join(live.select("id").distinct(), "id", "left_semi")
-        one, other = (met_items.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig")]) for x in "ab")
+        one, other = (items.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig")]) for x in "ab")
         near = _close_pairs(pairs.join(one, F.col("a") == F.col("id_a")).join(other, F.col("b") == F.col("id_b")), sketch, share)
+        near = cut_lineage(near)
+        release_shuffles(spark)
+        fetched = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        sets = cut_lineage(sets_of(fetched))
+        release_shuffles(spark)
         links = cut_lineage(linked_pairs(near, sets, share, hashes_of))
-        blocks = _open_blocks(live.select("key", "id"), connected_components(links, "a", "b"), sets.select("id", "bytes"))
-        compared = _compare(blocks.join(items.select("id", "n", "sig"), "id"), sketch, share)
-        cross = _compare(cut_lineage(compared).join(sets.select("id", "members"), "id"), sketch, share, hashes_of)
-        return cut_lineage(links.union(cross), outlive=True)
+        release_shuffles(spark)
+        blocks = _open_blocks(live.select("key", "id"), connected_components(links, "a", "b"), items.select("id", "bytes"))
+        compared = cut_lineage(_compare(blocks.join(items.select("id", "n", "sig"), "id"), sketch, share))
+        release_shuffles(spark)
+        more = sets_of(compared.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
+        cross = _compare(compared.join(sets.select("id", "members").union(more.select("id", "members")), "id"), sketch, share, hashes_of)
+        links = cut_lineage(links.union(cross), outlive=True)
+    release_shuffles(spark)
+    return links
 
 
 def _open_blocks(rows: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
