@@ -26,6 +26,21 @@ def test_query(spark, duck, name):
     assert status in (("ok", "EMPTY") if each.sql else ("rows-only",)), note
 
 
+def test_partial_duplicates_with_many_sources(spark, duck, tmp_path):
+    """Few venues and days give merges of long source lists, whose order the SQL must state."""
+    for name in ("part", "supplier", "nation"):
+        duck.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    duck.execute(f"""COPY (SELECT * REPLACE (1 + l_suppkey % 4 AS l_suppkey, TIMESTAMP '2000-01-01' AS l_shipdate) FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey
+      LIMIT 1500) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    own = duck.cursor()
+    own.execute("CREATE SCHEMA small; SET schema = 'small'")
+    for name in ("part", "supplier", "nation", "lineitem"):
+        own.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    each = catalog.entries()["partial_duplicates"]
+    status, note, _ = check.compare(spark, own, str(tmp_path), "partial_duplicates", each.run, each.sql)
+    assert status == "ok", note
+
+
 def test_queries_without_sql():
     """All others have a DuckDB text; these two are compared with cases told by hand in ``test_operators``."""
     assert {name for name, each in catalog.entries().items() if not each.sql} == {"crawl_frontier", "discovered_venue_links"}
