@@ -421,6 +421,21 @@ def test_chat_round_trip(spark):
     assert chat_format.unescape(first["text"][first["loss_start"] : first["loss_end"]]) == "<|"
 
 
+def test_chat_examples_are_rows(spark):
+    turns = spark.createDataFrame(chat_rows(), "conv_id long, turn long, role string, text string")
+    segments = chat_format.format_turns(turns)
+    rows = chat_format.with_examples(segments).collect()
+    replies = sorted(t or "" for _, _, role, t in chat_rows() if role == "assistant")
+    assert len(rows) == len(chat_rows()) + len(replies)
+    assert sorted(chat_format.unescape(r["example"]["target_text"]) for r in rows if r["example"]) == replies
+    # the whole text of an example is its prefix and the turn that it ends
+    whole = {(r["conv_id"], r["target"]): r["text"] for r in chat_format.render(segments).collect()}
+    for r in chat_format.expand(segments).collect():
+        text = whole[r["conv_id"], r["target"]]
+        assert len(text) == r["chars"] and text[r["loss_start"] : r["loss_end"]] == r["target_text"]
+        assert text[r["context_chars"] :].startswith(chat_format.OPEN + "assistant\n")
+
+
 # 6: licences
 
 
