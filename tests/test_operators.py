@@ -33,6 +33,17 @@ def test_venue_resolution(spark):
     assert got["4"] == got["5"] == (new.id, "New Hall") and created.count() == 1
 
 
+def test_locations_come_down_to_one_row_per_venue_before_the_join(spark):
+    known = spark.createDataFrame([("a", "Hall", ["The Old Hall"], "old", "1"), ("b", "Barn", [], "kept", "2")], VENUE)
+    rows = [("a", "", "one", "1"), ("", "old hall", "two", "2"), ("a", "x", " ", "3"), ("", "Nowhere", "gone", "4"), ("", "", "none", "5"), ("c", "", "none", "6")]
+    told = spark.createDataFrame(rows, "venue_id string, venue string, location string, ord string")
+    _, moved, counts = hygiene.move_location_to_venues(told, known)
+    assert names(moved, "id", "location") == [("a", "two"), ("b", "kept")]
+    assert tuple(counts.head()) == (3, 6)
+    # the rows, the venues' keys and the moves of a venue are brought together, the rows before they meet the keys
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 3
+
+
 def test_host_match_reads_both_ways(spark):
     known = spark.createDataFrame([("z", "Example Arms", [], "", "1"), ("t", "The Triffid", [], "", "2"), ("q", "Abc", [], "", "3")], VENUE)
     hosts = spark.createDataFrame([("www.thetriffid.com.au:80",), ("example.org",), ("www.abc.io",), ("triff.id",)], "host string")
