@@ -44,6 +44,14 @@ def test_locations_come_down_to_one_row_per_venue_before_the_join(spark):
     assert moved._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 3
 
 
+def test_lookup_of_venues_is_known_to_be_small(spark):
+    known = spark.createDataFrame([("a", "The Triffid", [], "", "1")], VENUE)
+    rows = spark.createDataFrame([("1", "triffid", "1"), ("2", " ", "2"), ("3", None, "3"), ("4", "New", "4")], "id string, venue_text string, ord string")
+    linked, created = venues.resolve_venues(rows, known)
+    assert "SortMergeJoin" not in linked._jdf.queryExecution().executedPlan().toString()
+    assert names(linked, "id", "venue") == [("1", "The Triffid"), ("2", ""), ("3", ""), ("4", "New")] and created.count() == 1
+
+
 def test_host_match_reads_both_ways(spark):
     known = spark.createDataFrame([("z", "Example Arms", [], "", "1"), ("t", "The Triffid", [], "", "2"), ("q", "Abc", [], "", "3")], VENUE)
     hosts = spark.createDataFrame([("www.thetriffid.com.au:80",), ("example.org",), ("www.abc.io",), ("triff.id",)], "host string")
