@@ -67,6 +67,28 @@ def test_mentions_in_whole_texts(spark):
     assert names(venues.mentions(rows, known), "row_id", "venue_id") == [("1", "t"), ("2", "l"), ("4", "t")]
 
 
+@pytest.mark.parametrize("few", [0, 256])
+def test_mentions_at_every_place_and_of_every_length(spark, monkeypatch, few):
+    monkeypatch.setattr(venues, "FEW_KEYS", few)
+    rng = random.Random(5)
+    letters = "ab𝄞 é"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [(str(i), word(700)) for i in range(12)]
+    cut = [t[at : at + n] for n in (4, 5, 6, 7, 8, 14, 15, 16, 30, 31, 47, 130) for _, t in texts for at in (rng.randrange(560),)]
+    known = spark.createDataFrame([(str(i), "q" + c, [c], "", str(i)) for i, c in enumerate(cut)], VENUE)
+    rows = spark.createDataFrame(texts, "id string, text string")
+    want = rows.select("id", venues.collapse_key("text").alias("t")).crossJoin(
+        known.select(F.col("id").alias("v"), venues.core_key(F.col("aliases")[0]).alias("c"))
+    ).filter("length(c) >= 4 and contains(t, c)")
+    assert names(venues.mentions(rows, known), "row_id", "venue_id") == names(want, "id", "v")
+
+
+def test_texts_offer_few_grams_to_long_venue_keys(spark):
+    row = spark.range(1).select(F.repeat(F.lit("0123456789abcdefghijklmnopqrstu"), 33).alias("t"))
+    grams = F.transform(venues.text_runs(F.col("t"), 128, 100), lambda r: venues.text_grams(r["own"], {(16, 16)}))
+    assert row.select(F.size(F.flatten(grams))).head()[0] <= 33 * 31 // 16
+
+
 def test_deleting_a_venue_checks_its_input(spark):
     known = spark.createDataFrame([("a", "A", [], "", "1"), ("b", "B", [], "", "2")], VENUE)
     events = spark.createDataFrame([("1", "a", "A", "i1"), ("2", "b", "B", "i2")], "id string, venue_id string, venue string, image_id string")
