@@ -67,3 +67,15 @@ def test_pages_of_one_address_offer_their_images_in_page_order(spark):
     assert {r.id: r.thumbnail_url for r in got.collect()} == {
         "r0": path.format("gamma"), "r1": path.format("delta"), "r2": path.format("beta"), "r3": path.format("alpha"), "r4": None
     }
+
+
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_assets_of_rows_that_share_an_address_or_have_none_are_dealt_out(spark, monkeypatch, hot):
+    monkeypatch.setattr(images, "HOT_ROWS", hot)
+    address = lambda i: None if i % 3 == 0 else f"https://i/{0 if i % 2 else i % 5}.jpg"
+    rows = spark.createDataFrame([(str(i), f"Act {i}", address(i)) for i in range(60)], "id string, title string, thumbnail_url string")
+    stored = spark.createDataFrame([(f"img{i}", f"https://i/{i}.jpg", "x") for i in range(3)], "id string, source_url string, sha256 string")
+    out = images.resolve_assets(rows, stored, "gigs")
+    want = {str(i): f"img{address(i)[10]}" if address(i) and address(i)[10] < "3" else None for i in range(60)}
+    assert {r.id: r.image_id for r in out.collect()} == want and out.count() == 60
+    assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
