@@ -24,6 +24,8 @@ LEVEL = 3
 #: bounds of the fit: texts of each label in a dictionary, bytes of such a text at most, rows for the calibration
 FIT_TEXTS, FIT_TEXT_BYTES, FIT_ROWS = 600, 65_536, 4_000
 THRESHOLD = 0.3
+#: texts that a worker holds as Python objects at once
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -82,17 +84,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _evidence_of(rows: DataFrame, bad: bytes, good: bytes) -> DataFrame:
-    """``rows`` (with a ``text``) and ``evidence``."""
+    """``row`` (the columns of ``rows``, which have a ``text``) and ``evidence``. Only texts go to the Python workers; rows stay where they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one, other = compressor(bad), compressor(good)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).field("text").to_pylist()]
-            found = pa.array([evidence(t, one, other) for t in texts], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).field("row"), found], ["row", "evidence"])
+            for at in range(0, len(batch), ROWS):
+                texts = batch.slice(at, ROWS).to_pylist()
+                yield pa.array([evidence(t or b"", one, other) for t in texts], pa.list_(pa.float64()))
 
-    packed = rows.select(F.struct(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text")).alias("both"))
-    return packed.mapInArrow(run, T.StructType().add("row", packed.schema["both"].dataType["row"].dataType).add("evidence", T.ArrayType(T.DoubleType())))
+    # not deterministic: a filter on the score would work it out once more, below this step
+    return rows.select(F.struct("*").alias("row"), found.asNondeterministic()(F.col("text").cast("binary")).alias("evidence"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_texts: int = FIT_TEXTS, fit_rows: int = FIT_ROWS) -> Model:

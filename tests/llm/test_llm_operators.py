@@ -592,3 +592,11 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert fingerprints.likeness(chunks, shifted) > 0.95
     assert fingerprints.likeness(chunks, fingerprints.fingerprint_text(text[: len(text) // 2])[2]) > 0.95
     assert fingerprints.likeness(set(), set()) == 1.0 and fingerprints.likeness(set(), chunks) == 0.0
+
+
+def test_quality_sends_only_texts_to_python(spark):
+    docs = make(spark, [(1, "good"), (2, None)]).withColumn("other", F.lit("x" * 100))
+    plan = quality.score(docs, quality.Model(b"", b"", (0.0,) * 6, (0.0,) * 5, (1.0,) * 5))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    rows = quality.score(docs, quality.Model(b"", b"", (0.0,) * 6, (0.0,) * 5, (1.0,) * 5)).select("row.*", "score").collect()
+    assert sorted((r["doc_id"], r["text"], r["score"]) for r in rows) == [(1, "good", 0.5), (2, None, 0.5)]
