@@ -18,16 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from playbill.llm.arrow import parts
 from playbill.llm.near_links import Sketch, may_be_wanted, near_links, wanted_filter
 from playbill.llm.words import fold
 from playbill.operators.components import connected_components
-from playbill.session import cut_lineage, release_shuffles
+from playbill.session import cut_lineage, release_shuffles, working_tables
 
 #: characters of a shingle; a shorter line is one shingle
 SHINGLE = 5
 BANDS, ROWS = 16, 4
-#: linked lines may differ in 30 of 64 symbols; at a similarity of 0.8, 12.8 do on average, and more than 30 less than once in a million times
-SKETCH = Sketch(BANDS * ROWS, tuple(tuple(range(b * ROWS, (b + 1) * ROWS)) for b in range(BANDS)), 30)
+#: linked lines may differ in 30 of 64 symbols; at a similarity of 0.8, 12.8 do on average, and more than 30 less than once in a million times.
+#: Symbols have eight bits, as a signature of every line is stored and shuffled
+SKETCH = Sketch(BANDS * ROWS, tuple(tuple(range(b * ROWS, (b + 1) * ROWS)) for b in range(BANDS)), 30, 8)
 #: characters that are hashed at once
 GROUP = 1 << 18
 
@@ -77,7 +79,7 @@ def line_classes(docs: DataFrame, shingle: int) -> DataFrame:
     """One row for each distinct normal line: digest, number of lines, bytes, signature and the place of the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ids, keys = batch.column(0), batch.column(1)
             rows = (
                 (form, row, number)
@@ -100,8 +102,8 @@ def line_classes(docs: DataFrame, shingle: int) -> DataFrame:
     return lines.groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("lines"), F.first("bytes").alias("bytes"), F.first("sig").alias("sig"))
 
 
-def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> DataFrame:
-    """``doc_id``, ``text_key`` and the numbers of the lines that go (``lines``), for every document that loses any."""
+def _fates(docs: DataFrame, shingle: int, share: int) -> DataFrame:
+    """``digest`` and ``root``, the place of the line that stays, of every line that is there twice or linked with another."""
     classes = cut_lineage(line_classes(docs, shingle).withColumn("id", F.monotonically_increasing_id()))  # stored, so the ids stay
     release_shuffles(docs.sparkSession)
 
@@ -128,7 +130,14 @@ def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> D
     roots = classes.join(labels, "id").groupBy("label").agg(F.min("place").alias("root"))
     linked = labels.join(roots, "label").select("id", "root")
     fates = classes.join(linked, "id", "left").filter("lines > 1 or root is not null")
-    fates = fates.select("digest", F.coalesce("root", "place").alias("root"))
+    return fates.select("digest", F.coalesce("root", "place").alias("root"))
+
+
+def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> DataFrame:
+    """``doc_id``, ``text_key`` and the numbers of the lines that go (``lines``), for every document that loses any."""
+    with working_tables(docs.sparkSession):
+        fates = cut_lineage(_fates(docs, shingle, share), outlive=True)
+    release_shuffles(docs.sparkSession)
     forms = F.transform(
         F.split("text", "\n"),
         lambda s: F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")),
@@ -155,16 +164,16 @@ def drop_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> Data
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             both = batch.column(0)
             row = both.field("row")
             texts, counts, kept = [], [], []
             for text, lines, repeat in zip(row.field(at).to_pylist(), both.field("lines").to_pylist(), both.field("again").to_pylist()):
                 gone = set(lines or ())
-                parts = (text or "").split("\n")
-                full = [bool(normal_line(p)) for p in parts]
+                split = (text or "").split("\n")
+                full = [bool(normal_line(p)) for p in split]
                 stay = [not f or not (repeat or i in gone) for i, f in enumerate(full)]
-                texts.append(text if all(stay) else "\n".join(p for p, s in zip(parts, stay) if s))
+                texts.append(text if all(stay) else "\n".join(p for p, s in zip(split, stay) if s))
                 counts.append(sum(full))
                 kept.append(sum(f and s for f, s in zip(full, stay)))
             fields = [row.field(i) for i in range(row.type.num_fields)]

@@ -1,6 +1,6 @@
 """Links between similar sets: MinHash signatures, buckets, exact verification inside the bucket, and a forest of links.
 
-An item has a signature of 16-bit symbols, each the low bits of one minimum hash. ``slots`` name the groups of symbols of which one must be
+An item has a signature of symbols of 16 or 8 bits, each a part of one minimum hash. ``slots`` name the groups of symbols of which one must be
 equal for two items to meet in a bucket. Buckets are not joined with themselves. First every member is held against the smallest
 member of its bucket, and verified links are merged to components. Of buckets that then still hold several components, equal ones count once.
 Their members are compared by signature, block against block; those with a close partner in another component come again with their sets,
@@ -32,10 +32,12 @@ FILTER_BITS = 1 << 25
 SLOT_BITS = 8
 #: rows that are compared with a block at once; buckets up to SMALL members are compared many at a time, HELD rows together
 ROWS, SMALL, HELD = 128, 32, 8192
+#: sets that are turned into hashes at once
+FEW = 512
 
 
-def minima(hashes: np.ndarray, counts: np.ndarray, symbols: int, seed: int) -> np.ndarray:
-    """Sixteen bits of the minimum of each set under ``symbols`` hash functions."""
+def minima(hashes: np.ndarray, counts: np.ndarray, symbols: int, seed: int, bits: int = 16) -> np.ndarray:
+    """Some bits of the minimum of each set under ``symbols`` hash functions."""
     out = np.zeros((len(counts), symbols), np.uint32)
     full = np.flatnonzero(counts)
     if len(full):
@@ -45,21 +47,29 @@ def minima(hashes: np.ndarray, counts: np.ndarray, symbols: int, seed: int) -> n
         starts = (np.cumsum(counts) - counts)[full]
         for k in range(symbols):
             least = np.minimum.reduceat((values ^ masks[k]) * factors[k], starts)
-            out[full, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
+            out[full, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
     return out
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """Number of symbols, the slots (equally long tuples of symbol numbers), and the most symbols in which linked items may differ."""
+    """Number of symbols, the slots (equally long tuples of symbol numbers), the most symbols in which linked items may differ, and the bits of a symbol.
+
+    Symbols of fewer bits are equal by chance more often. That gives more candidates, never fewer.
+    """
 
     symbols: int
     slots: tuple[tuple[int, ...], ...]
     most_errors: int
+    bits: int = 16
+
+    @property
+    def kind(self) -> type:
+        return np.uint8 if self.bits == 8 else np.uint16
 
     def signatures(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """One row of symbols for each set: ``counts`` says how many of the 64-bit hashes belong to it. Empty sets have zeros."""
-        return minima(hashes, counts, self.symbols, 20).astype(np.uint16)
+        return minima(hashes, counts, self.symbols, 20, self.bits).astype(self.kind)
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """One 64-bit bucket key for each row and slot, with the slot in its low bits."""
@@ -72,7 +82,7 @@ class Sketch:
         return out.view(np.int64)
 
     def read(self, column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, self.symbols)
+        return np.frombuffer(b"".join(column.to_pylist()), self.kind).reshape(-1, self.symbols)
 
 
 def bucket_keys(items: DataFrame, sketch: Sketch) -> DataFrame:
@@ -106,21 +116,23 @@ def near_links(
     of_key = Window.partitionBy("key")
     spark = items.sparkSession
     with working_tables(spark):
-        met = bucket_keys(items, sketch).withColumns({"members": F.count("*").over(of_key), "leader": F.min("id").over(of_key)})
-        live = cut_lineage(met.filter("members > 1"))
-        release_shuffles(spark)
-        pairs = live.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        one, other = (items.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig")]) for x in "ab")
-        near = _close_pairs(pairs.join(one, F.col("a") == F.col("id_a")).join(other, F.col("b") == F.col("id_b")), sketch, share)
-        near = cut_lineage(near)
+        with working_tables(spark):  # what candidates need, gone before blocks are compared
+            met = bucket_keys(items, sketch).withColumns({"members": F.count("*").over(of_key), "leader": F.min("id").over(of_key)})
+            live = cut_lineage(met.filter("members > 1").drop("members"))
+            release_shuffles(spark)
+            pairs = live.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+            one, other = (items.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig")]) for x in "ab")
+            near = _close_pairs(pairs.join(one, F.col("a") == F.col("id_a")).join(other, F.col("b") == F.col("id_b")), sketch, share)
+            near = cut_lineage(near)
+            release_shuffles(spark)
+            fetched = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+            sets = cut_lineage(sets_of(fetched), outlive=True)
+            release_shuffles(spark)
+            links = cut_lineage(linked_pairs(near, sets, share, hashes_of), outlive=True)
+            release_shuffles(spark)
+            placed = _placed(live.select("key", "id"), connected_components(links, "a", "b"), items.select("id", "bytes"))
         release_shuffles(spark)
-        fetched = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        sets = cut_lineage(sets_of(fetched))
-        release_shuffles(spark)
-        links = cut_lineage(linked_pairs(near, sets, share, hashes_of))
-        release_shuffles(spark)
-        blocks = _open_blocks(live.select("key", "id"), connected_components(links, "a", "b"), items.select("id", "bytes"))
-        compared = cut_lineage(_compare(blocks.join(items.select("id", "n", "sig"), "id"), sketch, share))
+        compared = cut_lineage(_compare(_block_pairs(placed).join(items.select("id", "n", "sig"), "id"), sketch, share))
         release_shuffles(spark)
         more = sets_of(compared.select("id").distinct().join(sets.select("id"), "id", "left_anti"))
         cross = _compare(compared.join(sets.select("id", "members").union(more.select("id", "members")), "id"), sketch, share, hashes_of)
@@ -129,26 +141,31 @@ def near_links(
     return links
 
 
-def _open_blocks(rows: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components, once for every pair of blocks that they take part in.
+def _placed(rows: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, with their ``block`` and the ``last`` one of the bucket, stored beyond the innermost block of working tables.
 
     Of buckets with the same members, the one of the lowest slot stays; it is where pairs are looked at that meet in all of them.
     """
     of_key = Window.partitionBy("key")
-    named = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").join(sizes, "id").withColumn("label", F.coalesce("label", "id"))
     spread = named.withColumns({
         "low": F.min("label").over(of_key), "high": F.max("label").over(of_key), "members": F.count("*").over(of_key),
         "first": F.min("id").over(of_key), "print": F.sum(F.xxhash64("id").cast("decimal(20,0)")).over(of_key),
     })
     several = cut_lineage(spread.filter("low <> high").drop("low", "high"))
+    release_shuffles(rows.sparkSession)
     slot = F.col("key").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
     once = several.filter("id = first").groupBy("first", "members", "print").agg(F.min_by("key", slot).alias("key")).select("key")
-    placed = several.join(once, "key", "left_semi").select("key", "id", "label").join(sizes, "id")
+    placed = several.join(once, "key", "left_semi").select("key", "id", "label", "bytes")
     order = of_key.orderBy("label", "id")
     filled = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK) + F.floor(filled / BLOCK_BYTES))
-    blocked = placed.withColumn("last", F.max("block").over(of_key))
-    blocked = blocked.select("key", "id", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("against"))
+    return cut_lineage(placed.withColumn("last", F.max("block").over(of_key)).drop("bytes"), outlive=True)
+
+
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """Every row once for every pair of blocks that it takes part in."""
+    blocked = placed.select("key", "id", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("against"))
     return blocked.select(
         "key", "id", "label", F.least("block", "against").alias("one"), F.greatest("block", "against").alias("other"),
         (F.col("block") <= F.col("against")).alias("left_side"), (F.col("block") >= F.col("against")).alias("right_side"),
@@ -177,8 +194,12 @@ class Forest:
     def __init__(self, table: pa.Table, share: int, hashes_of: Callable) -> None:
         self.ids, self.share = table.column("id").to_numpy(), share
         self.root = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
-        hashes, counts = hashes_of(table.column("members").to_pylist())
-        codes = np.unique(hashes, return_inverse=True)[1]
+        members = table.column("members")
+        # sets are hashed a few at a time, as hashing takes several times the room of its result
+        parts = [hashes_of(members.slice(at, FEW).to_pylist()) for at in range(0, max(1, len(members)), FEW)]
+        counts = np.concatenate([n for _, n in parts])
+        codes = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)[1]
+        del parts
         self.mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
         both = np.unique(np.repeat(np.arange(len(counts)), counts) * len(self.mark) + codes)
         self.codes, owner = both % len(self.mark), both // len(self.mark)
@@ -282,7 +303,7 @@ def _compare(rows: DataFrame, sketch: Sketch, share: int, hashes_of: Callable |
             held.append(table)
             rows += table.num_rows
             size += sum(len(m.as_buffer()) for m in table.column("members")) if hashes_of else 0
-            if rows >= HELD or size >= BLOCK_BYTES:
+            if rows >= HELD or size >= BLOCK_BYTES // 4:
                 yield both()
                 held, rows, size = [], 0, 0
         if held:

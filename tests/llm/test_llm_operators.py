@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -594,6 +595,27 @@ def test_chunks_cover_the_text_and_resist_shifts():
     assert fingerprints.likeness(set(), set()) == 1.0 and fingerprints.likeness(set(), chunks) == 0.0
 
 
+def test_symbols_of_eight_bits_are_those_of_sixteen_cut_short():
+    draw = np.random.default_rng(8)
+    hashes, counts = draw.integers(0, 1 << 63, 600).astype(np.uint64), np.full(20, 30)
+    wide, slim = (near_links.Sketch(8, ((0, 1),), 3, bits).signatures(hashes, counts) for bits in (16, 8))
+    assert line_dedup.SKETCH.kind is np.uint8 and slim.nbytes * 2 == wide.nbytes
+    assert ((wide >> 8).astype(np.uint8) == slim).all()
+
+
+def test_line_dedup_leaves_one_working_table(spark):
+    from playbill import session
+
+    kept = []
+    session._open.__dict__.setdefault("scopes", []).append(kept)  # what outlives the blocks inside
+    try:
+        gone = line_dedup.dropped_lines(make(spark, [(1, "one line of some words\nanother line here"), (2, "One line of some words\nand a third one")]))
+    finally:
+        session._open.scopes.pop()
+    assert [r["lines"] for r in gone.collect()] == [[0]]
+    assert sum(os.path.exists(p.removeprefix("file:")) for p in kept) == 1
+
+
 def test_quality_sends_only_texts_to_python(spark):
     docs = make(spark, [(1, "good"), (2, None)]).withColumn("other", F.lit("x" * 100))
     plan = quality.score(docs, quality.Model(b"", b"", (0.0,) * 6, (0.0,) * 5, (1.0,) * 5))._jdf.queryExecution().executedPlan().toString()
