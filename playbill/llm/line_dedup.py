@@ -38,6 +38,16 @@ def normal_line(line: str) -> bytes:
     return b" ".join(line.encode("utf-8", "replace").lower().split())
 
 
+def blank(line: str) -> bool:
+    """Whether the normal form is empty."""
+    return not line.strip(" \t\n\x0b\x0c\r")
+
+
+def digest_spots(digests: list[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 gives for the digests."""
+    return np.array([xxhash.xxh64_intdigest(d, 42) for d in digests], np.uint64).view(np.int64)
+
+
 def line_hashes(lines: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of all lines, one line after the other, and their number for each line."""
     texts = [line.decode("utf-8", "replace") for line in lines]
@@ -108,19 +118,20 @@ def _fates(docs: DataFrame, shingle: int, share: int) -> DataFrame:
     release_shuffles(docs.sparkSession)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = cut_lineage(classes.select("id", "digest", F.xxhash64("digest").alias("spot")).join(ids, "id", "left_semi"))
-        bits = wanted_filter(wanted, "spot")
+        spots = classes.select("id", "digest", F.xxhash64("digest").alias("spot"), "place.text_key")
+        wanted = cut_lineage(spots.join(ids, "id", "left_semi"))
+        bits, texts = wanted_filter(wanted, "spot"), wanted_filter(wanted, "text_key")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                forms = list({f for text in batch.column(0).to_pylist() for f in map(normal_line, (text or "").split("\n")) if f})
+                batch = batch.filter(pa.array(may_be_wanted(texts.value, batch.column(0).to_numpy())))
+                forms = list({f for text in batch.column(1).to_pylist() for f in map(normal_line, (text or "").split("\n")) if f})
                 digests = [hashlib.md5(f).digest() for f in forms]
-                spots = np.array([xxhash.xxh64_intdigest(d, 42) for d in digests], np.uint64).view(np.int64)
-                at = np.flatnonzero(may_be_wanted(bits.value, spots)).tolist()
+                at = np.flatnonzero(may_be_wanted(bits.value, digest_spots(digests))).tolist()
                 arrays = [pa.array([digests[i] for i in at], pa.binary()), pa.array([forms[i] for i in at], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["digest", "members"])
 
-        found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, members binary")
+        found = _docs(docs).select("text_key", "text").mapInArrow(run, "digest binary, members binary")
         found = found.groupBy("digest").agg(F.first("members").alias("members"))
         return found.join(wanted, "digest").select("id", "members")
 
@@ -138,12 +149,23 @@ def dropped_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> D
     with working_tables(docs.sparkSession):
         fates = cut_lineage(_fates(docs, shingle, share), outlive=True)
     release_shuffles(docs.sparkSession)
-    forms = F.transform(
-        F.split("text", "\n"),
-        lambda s: F.trim(F.regexp_replace(F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")),
-    )
-    lines = _docs(docs).select("doc_id", "text_key", F.posexplode(forms).alias("line", "form")).filter("form <> ''")
-    lines = lines.select("doc_id", "text_key", F.col("line").cast("long").alias("line"), F.unhex(F.md5("form")).alias("digest"))
+    bits = wanted_filter(fates.select(F.xxhash64("digest").alias("spot")), "spot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            forms = [
+                (form, row, number)
+                for row, text in enumerate(batch.column(2).to_pylist())
+                for number, form in enumerate(map(normal_line, (text or "").split("\n")))
+                if form
+            ]
+            digests = [hashlib.md5(f[0]).digest() for f in forms]
+            some = np.flatnonzero(may_be_wanted(bits.value, digest_spots(digests))).tolist()
+            at = pa.array([forms[i][1] for i in some], pa.int64())
+            arrays = [batch.column(0).take(at), batch.column(1).take(at), pa.array([forms[i][2] for i in some], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([digests[i] for i in some], pa.binary())], ["doc_id", "text_key", "line", "digest"])
+
+    lines = _docs(docs).mapInArrow(run, "doc_id long, text_key long, line long, digest binary")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "line")
     gone = lines.join(fates, "digest").filter(~place.eqNullSafe(F.col("root")))
     return gone.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("lines"))
@@ -171,7 +193,7 @@ def drop_lines(docs: DataFrame, shingle: int = SHINGLE, share: int = 80) -> Data
             for text, lines, repeat in zip(row.field(at).to_pylist(), both.field("lines").to_pylist(), both.field("again").to_pylist()):
                 gone = set(lines or ())
                 split = (text or "").split("\n")
-                full = [bool(normal_line(p)) for p in split]
+                full = [not blank(p) for p in split]
                 stay = [not f or not (repeat or i in gone) for i, f in enumerate(full)]
                 texts.append(text if all(stay) else "\n".join(p for p, s in zip(split, stay) if s))
                 counts.append(sum(full))

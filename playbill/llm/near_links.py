@@ -2,8 +2,8 @@
 
 An item has a signature of symbols of 16 or 8 bits, each a part of one minimum hash. ``slots`` name the groups of symbols of which one must be
 equal for two items to meet in a bucket. Buckets are not joined with themselves. First every member is held against the smallest
-member of its bucket, and verified links are merged to components. Of buckets that then still hold several components, equal ones count once.
-Their members are compared by signature, block against block; those with a close partner in another component come again with their sets,
+member of its bucket, and verified links are merged to components. That settles all pairs of the smallest member, so it leaves the bucket, and
+buckets of two are done. Of buckets whose rest still holds several components, equal ones count once. Their members are compared by signature, block against block; those with a close partner in another component come again with their sets,
 and all close pairs are verified inside the block, where a union-find leaves out pairs that are connected by then. So a block emits fewer
 links than it has members, whatever the number of its pairs, and no link between different components is lost.
 """
@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playbill.llm.arrow import runs
-from playbill.llm.words import mix
+from playbill.llm.arrow import run_groups
+from playbill.llm.words import distinct, mix, spread
 from playbill.operators.components import connected_components
 from playbill.session import cut_lineage, release_shuffles, working_tables
 
@@ -34,6 +35,8 @@ SLOT_BITS = 8
 ROWS, SMALL, HELD = 128, 32, 8192
 #: sets that are turned into hashes at once
 FEW = 512
+#: bits that number the pairs of sets that are verified at once, and the values of sets whose minima are taken at once, which fit a cache
+PAIR_BITS, CACHED = 6, 1 << 16
 
 
 def minima(hashes: np.ndarray, counts: np.ndarray, symbols: int, seed: int, bits: int = 16) -> np.ndarray:
@@ -44,10 +47,18 @@ def minima(hashes: np.ndarray, counts: np.ndarray, symbols: int, seed: int, bits
         draw = np.random.default_rng(seed)
         factors, masks = draw.integers(0, 1 << 32, symbols, np.uint32) | np.uint32(1), draw.integers(0, 1 << 32, symbols, np.uint32)
         values = (hashes >> np.uint64(32)).astype(np.uint32)
-        starts = (np.cumsum(counts) - counts)[full]
-        for k in range(symbols):
-            least = np.minimum.reduceat((values ^ masks[k]) * factors[k], starts)
-            out[full, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+        ends = np.cumsum(counts[full])
+        starts = ends - counts[full]
+        done = 0
+        while done < len(full):
+            stop = max(done + 1, int(np.searchsorted(ends, starts[done] + CACHED, "right")))
+            some, at = values[starts[done] : ends[stop - 1]], starts[done:stop] - starts[done]
+            drawn, least = np.empty_like(some), np.empty((symbols, stop - done), np.uint32)
+            for k in range(symbols):
+                np.multiply(np.bitwise_xor(some, masks[k], out=drawn), factors[k], out=drawn)
+                np.minimum.reduceat(drawn, at, out=least[k])
+            out[full[done:stop]] = ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).T
+            done = stop
     return out
 
 
@@ -118,7 +129,7 @@ def near_links(
     with working_tables(spark):
         with working_tables(spark):  # what candidates need, gone before blocks are compared
             met = bucket_keys(items, sketch).withColumns({"members": F.count("*").over(of_key), "leader": F.min("id").over(of_key)})
-            live = cut_lineage(met.filter("members > 1").drop("members"))
+            live = cut_lineage(met.filter("members > 1"))
             release_shuffles(spark)
             pairs = live.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
             one, other = (items.select(*[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig")]) for x in "ab")
@@ -130,7 +141,8 @@ def near_links(
             release_shuffles(spark)
             links = cut_lineage(linked_pairs(near, sets, share, hashes_of), outlive=True)
             release_shuffles(spark)
-            placed = _placed(live.select("key", "id"), connected_components(links, "a", "b"), items.select("id", "bytes"))
+            rest = live.filter("members > 2 and id <> leader").select("key", "id")  # pairs with the leader are settled
+            placed = _placed(rest, connected_components(links, "a", "b"), items.select("id", "bytes"))
         release_shuffles(spark)
         compared = cut_lineage(_compare(_block_pairs(placed).join(items.select("id", "n", "sig"), "id"), sketch, share))
         release_shuffles(spark)
@@ -201,7 +213,7 @@ class Forest:
         codes = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)[1]
         del parts
         self.mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
-        both = np.unique(np.repeat(np.arange(len(counts)), counts) * len(self.mark) + codes)
+        both = distinct(np.repeat(np.arange(len(counts)), counts) * len(self.mark) + codes)
         self.codes, owner = both % len(self.mark), both // len(self.mark)
         self.counts = np.bincount(owner, minlength=len(counts))
         self.starts = np.cumsum(self.counts) - self.counts
@@ -233,6 +245,50 @@ class Forest:
         return 100 * both >= self.share * (len(own) + sizes - both)
 
 
+class SmallForest:
+    """Like ``Forest``, for rows of many small buckets, which have few pairs each."""
+
+    def __init__(self, table: pa.Table, share: int, hashes_of: Callable) -> None:
+        self.ids, self.share = table.column("id").to_numpy(), share
+        self.root = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        self.members, self.hashes_of = table.column("members"), hashes_of
+        self.found: list[tuple[int, int]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Verify pairs; those that connect two components are added to ``found``."""
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        members = self.members.take(pa.array(used))
+        parts = [self.hashes_of(members.slice(k, FEW).to_pylist()) for k in range(0, len(members), FEW)]
+        if not parts:
+            return
+        hashes, counts = (np.concatenate(p) for p in zip(*parts))
+        starts = np.cumsum(counts) - counts
+        one, other = at[: len(i)], at[len(i) :]
+        for k in range(0, len(i), 1 << PAIR_BITS):
+            open_ = k + np.flatnonzero(self.root[i[k : k + (1 << PAIR_BITS)]] != self.root[j[k : k + (1 << PAIR_BITS)]])
+            a, b = one[open_], other[open_]
+            linked = similar(hashes[spread(starts[a], counts[a])], counts[a], hashes[spread(starts[b], counts[b])], counts[b], self.share)
+            for x, y in zip(i[open_[linked]].tolist(), j[open_[linked]].tolist()):
+                if self.root[x] != self.root[y]:
+                    self.root[self.root == self.root[y]] = self.root[x]
+                    self.found.append((min(int(self.ids[x]), int(self.ids[y])), max(int(self.ids[x]), int(self.ids[y]))))
+
+
+def similar(one: np.ndarray, n: np.ndarray, other: np.ndarray, m: np.ndarray, share: int) -> np.ndarray:
+    """For pairs of sets, 1 << PAIR_BITS at most, whether 100 * intersection >= share * union; ``n`` and ``m`` of the hashes belong to each."""
+    shift = np.uint64(64 - PAIR_BITS)
+
+    def numbered(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return distinct(np.repeat(np.arange(len(counts), dtype=np.uint64) << shift, counts) | hashes >> np.uint64(PAIR_BITS))
+
+    def sizes(values: np.ndarray) -> np.ndarray:
+        return np.bincount((values >> shift).astype(np.int64), minlength=len(n))
+
+    x, y = numbered(one, n), numbered(other, m)
+    both = sizes(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= share * (sizes(x) + sizes(y) - both)
+
+
 def _compare(rows: DataFrame, sketch: Sketch, share: int, hashes_of: Callable | None = None) -> DataFrame:
     """Rows of blocks that have a close partner of another component; with ``hashes_of``, the links between components.
 
@@ -291,34 +347,47 @@ def _compare(rows: DataFrame, sketch: Sketch, share: int, hashes_of: Callable |
         fresh = new(sig, i, j, slot[i])
         return i[fresh], j[fresh]
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]]:
-        """Tables with the close pairs of their rows: one large bucket, or many small ones."""
-        held: list[pa.Table] = []
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+        """Tables with the close pairs of their rows, and whether they are one large bucket or many small ones."""
+        held: list[tuple[pa.Table, np.ndarray]] = []
         rows = size = 0
-        both = lambda: (pa.concat_tables(held), iter([small_buckets(pa.concat_tables(held), np.array([t.num_rows for t in held]))]))
-        for table in runs(batches, ["key", "one", "other"]):
-            if table.num_rows > SMALL:
-                yield table, one_bucket(table)
+
+        def all_held() -> tuple[pa.Table, bool, Iterator[tuple[np.ndarray, np.ndarray]]]:
+            table = pa.concat_tables([t for t, _ in held]).combine_chunks()
+            return table, False, iter([small_buckets(table, np.concatenate([n for _, n in held]))])
+
+        for table, sizes in run_groups(batches, ["key", "one", "other"], SMALL):
+            if table.num_rows > SMALL and len(sizes) == 1:
+                yield table, True, one_bucket(table)
                 continue
-            held.append(table)
-            rows += table.num_rows
-            size += sum(len(m.as_buffer()) for m in table.column("members")) if hashes_of else 0
-            if rows >= HELD or size >= BLOCK_BYTES // 4:
-                yield both()
-                held, rows, size = [], 0, 0
+            ends = np.cumsum(sizes)
+            weights = pc.binary_length(table.column("members")).to_numpy() if hashes_of else np.zeros(table.num_rows, np.int64)
+            filled = np.cumsum(np.add.reduceat(weights, ends - sizes, dtype=np.int64))
+            done = 0
+            while done < len(sizes):  # as many buckets as there is room for, one at least
+                start, before = (int(ends[done - 1]), int(filled[done - 1])) if done else (0, 0)
+                stop = min(int(np.searchsorted(ends, start + HELD - rows)), int(np.searchsorted(filled, before + BLOCK_BYTES // 4 - size)))
+                stop = min(max(stop, done) + 1, len(sizes))
+                held.append((table.slice(start, int(ends[stop - 1]) - start), sizes[done:stop]))
+                rows += int(ends[stop - 1]) - start
+                size += int(filled[stop - 1]) - before
+                done = stop
+                if rows >= HELD or size >= BLOCK_BYTES // 4:
+                    yield all_held()
+                    held, rows, size = [], 0, 0
         if held:
-            yield both()
+            yield all_held()
 
     def in_doubt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, pairs in groups(batches):
+        for table, _, pairs in groups(batches):
             keep = np.zeros(table.num_rows, bool)
             for i, j in pairs:
                 keep[i] = keep[j] = True
             yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, pairs in groups(batches):
-            forest = Forest(table, share, hashes_of)
+        for table, large, pairs in groups(batches):
+            forest = (Forest if large else SmallForest)(table, share, hashes_of)
             for i, j in pairs:
                 forest.add(i, j)
             a, b = zip(*forest.found) if forest.found else ((), ())
@@ -334,21 +403,12 @@ def _compare(rows: DataFrame, sketch: Sketch, share: int, hashes_of: Callable |
 def linked_pairs(pairs: DataFrame, sets: DataFrame, share: int, hashes_of: Callable) -> DataFrame:
     """The pairs of sets (``id``, ``members``) with 100 * intersection >= share * union."""
 
-    def distinct(members: list[bytes]) -> Iterator[np.ndarray]:
-        hashes, counts = hashes_of(members)
-        end = 0
-        for n in counts.tolist():
-            yield np.unique(hashes[end : end + n])
-            end += n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, keep = batch.slice(at, 64), []
-                for one, other in zip(distinct(part.column(2).to_pylist()), distinct(part.column(3).to_pylist())):
-                    both = len(np.intersect1d(one, other, assume_unique=True))
-                    keep.append(100 * both >= share * (len(one) + len(other) - both))
-                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], ["a", "b"])
+            for at in range(0, batch.num_rows, 1 << PAIR_BITS):
+                part = batch.slice(at, 1 << PAIR_BITS)
+                keep = similar(*hashes_of(part.column(2).to_pylist()), *hashes_of(part.column(3).to_pylist()), share)
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
     one, other = (sets.select(F.col("id").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab")
     return pairs.join(one, "a").join(other, "b").select("a", "b", "members_a", "members_b").mapInArrow(run, "a long, b long")

@@ -93,6 +93,14 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets, "left")
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values. For 64-bit hashes a sort is many times faster than ``np.unique``, which fills a hash table."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
+
+
 def fold(hashes: np.ndarray, width: int) -> np.ndarray:
     """A hash of every ``width`` consecutive values."""
     count = len(hashes) - width + 1
@@ -114,7 +122,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     out = []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
         if b - a >= width:
-            out.append(np.unique(whole[a : b - width + 1]))
+            out.append(distinct(whole[a : b - width + 1]))
         else:
             out.append(fold(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out

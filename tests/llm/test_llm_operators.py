@@ -13,6 +13,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from playbill.llm import (
     byte_bpe, chat_format, decontaminate, fingerprints, licenses, line_dedup, minhash_dedup, near_links, quality, secret_scan, sharding, words,
 )
+from playbill.llm.arrow import run_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, digest string, found double, text_key string"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -622,3 +624,40 @@ def test_quality_sends_only_texts_to_python(spark):
     assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
     rows = quality.score(docs, quality.Model(b"", b"", (0.0,) * 6, (0.0,) * 5, (1.0,) * 5)).select("row.*", "score").collect()
     assert sorted((r["doc_id"], r["text"], r["score"]) for r in rows) == [(1, "good", 0.5), (2, None, 0.5)]
+
+
+def test_settled_pairs_are_not_compared_again(spark, monkeypatch):
+    """Buckets of two, and pairs with the smallest member of a bucket, are settled before blocks are made."""
+    placed, inner = [], near_links._placed
+
+    def watched(rows, *rest):
+        placed.append(rows.groupBy("key").count().agg(F.sum("count"), F.min("count")).first())
+        return inner(rows, *rest)
+
+    monkeypatch.setattr(near_links, "_placed", watched)
+    texts = [(1, "one line of some words that go on"), (2, "one line of some words that go in"), (3, "nothing like the others here, at all")]
+    report = line_dedup.line_report(make(spark, texts)).orderBy("doc_id")
+    assert [r["n_kept"] for r in report.collect()] == [1, 0, 1]
+    assert [tuple(p) for p in placed] == [(None, None)]
+
+
+def test_runs_are_whole_over_batch_borders():
+    keys = np.repeat(np.arange(60), np.random.default_rng(3).integers(1, 9, 60))
+    table = pa.table({"key": keys, "n": np.arange(len(keys))})
+    for rows in (1, 2, 5, 7, 64, len(keys)):
+        found = list(run_groups(iter(table.to_batches(max_chunksize=rows)), ["key"], 5))
+        assert [n for t, _ in found for n in t.column("n").to_pylist()] == list(range(len(keys)))
+        assert [n for _, sizes in found for n in sizes.tolist()] == np.bincount(keys).tolist()
+        assert all(len(sizes) == 1 or sizes.max() <= 5 for _, sizes in found)
+        assert all(t.num_rows == sizes.sum() for t, sizes in found)
+
+
+def test_similar_sets_are_told_as_by_python_sets():
+    draw = np.random.default_rng(4)
+    pairs = [(set(draw.integers(0, 30, n).tolist()), set(draw.integers(0, 30, m).tolist())) for n, m in draw.integers(1, 60, (64, 2))]
+    sides = []
+    for side in zip(*pairs):
+        lists = [[*s, *list(s)[:2]] for s in side]  # with repeated values
+        sides += [words.mix(np.array([v for one in lists for v in one], np.uint64)), np.array([len(one) for one in lists])]
+    expected = [100 * len(a & b) >= 80 * len(a | b) for a, b in pairs]
+    assert near_links.similar(*sides, 80).tolist() == expected and 0 < sum(expected) < 64
