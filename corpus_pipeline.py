@@ -34,7 +34,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of what they decode to."""
-    ids = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    # stored, as encoding and decoding in one task would take two Python workers, which stay
+    ids = cut_lineage(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN))
     texts = byte_bpe.decode(ids, RANKS)
     return texts.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -59,3 +59,10 @@ def test_query(spark, name):
 def test_registered():
     assert {*queries.queries(), "pipeline"} <= set(entry_file.queries())
     assert [s for s, _ in corpus_pipeline.STAGES] and set(queries.oracle_sql()) <= set(entry_file.oracle_sql())
+
+
+def test_tokens_take_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    found = corpus_pipeline.tokens(spark, docs, "")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: r["n_tokens"] for r in found.collect()} == {1: 2, 2: 0}
