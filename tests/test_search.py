@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playbill import schemas
-from playbill.operators import search
+from playbill.operators import pages, search
 
 DAY = dt.date(2026, 1, 10)
 
@@ -59,3 +59,13 @@ def test_scores_and_index(spark, rows, query):
 def test_an_index_of_nothing(spark, rows):
     index = search.build_index(rows.limit(0))
     assert search.indexed_search(rows, index, "band", DAY).count() == 0 and index["vocabulary"].count() == 0
+
+
+def test_blocks_without_a_title_or_snippet_stay_apart(spark):
+    block = "## Query\ntitle: {}\nsnippet: {}\nlink: https://a.example/{}).\n---\n"
+    texts = [(1, block.format("", "s", 1) + block.format("t", "", 2) + block.format(" \t", " ", 3) + block.format("u", "v", 4)), (2, block.format("\n", "\nw", 5))]
+    got = pages.parse_result_blocks(spark.createDataFrame(texts, "k int, t string"), "t", "k").orderBy("k", "pos").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 0, "", "s", "https://a.example/1"), (1, 1, "t", "", "https://a.example/2"), (1, 2, "", "", "https://a.example/3"),
+        (1, 3, "u", "v", "https://a.example/4"), (2, 0, "", "w", "https://a.example/5"),
+    ]
