@@ -661,3 +661,20 @@ def test_similar_sets_are_told_as_by_python_sets():
         sides += [words.mix(np.array([v for one in lists for v in one], np.uint64)), np.array([len(one) for one in lists])]
     expected = [100 * len(a & b) >= 80 * len(a | b) for a, b in pairs]
     assert near_links.similar(*sides, 80).tolist() == expected and 0 < sum(expected) < 64
+
+
+def test_examples_hold_their_whole_text(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"{t} <| text") for t in range(60)] + [(2, 0, "assistant", ""), (3, 0, "user", "alone")]
+    segments = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    texts = {}
+    for r in segments.orderBy("conv_id", "position").collect():
+        texts[r.conv_id, r.position] = texts.get((r.conv_id, r.position - 1), "") + r.segment
+    made = [r.example for r in chat_format.with_examples(segments).collect() if r.example]
+    assert len(made) == 31
+    for r in chat_format.expand(segments).collect():
+        assert r.text == texts[r.conv_id, r.target] and len(r.text) == r.chars and r.text[r.loss_start : r.loss_end] == r.target_text
+    assert {r.conv_id: r.formatted_chars for r in chat_format.read_back(segments).collect()} == {
+        c: sum(len(t) for (conv, at), t in texts.items() if conv == c and (at % 2 if c == 1 else c == 2)) for c in (1, 2, 3)
+    }
+    with pytest.raises(Exception, match="together and in order"):
+        chat_format.with_examples(segments.filter("position <> 1")).collect()
