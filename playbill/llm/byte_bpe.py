@@ -41,6 +41,11 @@ NEWER_NUMBERS = "\\U00011de0-\\U00011de9\\U0001246f\\U00012475-\\U0001247f\\U000
 _NEWER = regex.compile(f"[{NEWER_LETTERS}{NEWER_NUMBERS}]")
 
 
+def has_newer(text: str) -> bool:
+    """Whether a text holds newer letters or numbers. Only its different characters are looked at, which are few in most texts."""
+    return not text.isascii() and _NEWER.search("".join(set(text))) is not None
+
+
 def _older_classes(pattern: str) -> str:
     """The pattern without the newer letters and numbers in its classes."""
     sets = {r"\p{L}": rf"[\p{{L}}--[{NEWER_LETTERS}]]", r"\p{N}": rf"[\p{{N}}--[{NEWER_NUMBERS}]]"}
@@ -173,7 +178,7 @@ class BytePairs:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if len(self.pieces) >= MAX_PIECES:
             self.pieces = _Pieces(self, dict(self.pieces))
-        find = self.find if text.isascii() or not _NEWER.search(text) else self.find_older
+        find = self.find_older if has_newer(text) else self.find
         return b"".join(map(self.pieces.__getitem__, find(text)))
 
     def encode(self, text: str) -> list[int]:

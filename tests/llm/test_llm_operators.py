@@ -678,3 +678,14 @@ def test_examples_hold_their_whole_text(spark):
     }
     with pytest.raises(Exception, match="together and in order"):
         chat_format.with_examples(segments.filter("position <> 1")).collect()
+
+
+def test_newer_characters_are_looked_for_among_different_ones(monkeypatch):
+    assert byte_bpe.has_newer("é\u0558") and byte_bpe.has_newer("\U0001ccf0日" * 9 + "\U00011de3") and not byte_bpe.has_newer("日本 é" * 1000) and not byte_bpe.has_newer("")
+
+    class Seen:
+        def search(self, text):
+            assert len(text) == 2
+
+    monkeypatch.setattr(byte_bpe, "_NEWER", Seen())
+    assert not byte_bpe.has_newer("aé" * 1000)
